@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
+SHORT = (3, 2, 1)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,6 +35,13 @@ class Vocabulary:
         self.longest, self.pairs_kept = max(map(len, ranks), default=1), pairs_kept
         self.valid: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
+        #: Sizes of the tokens that end in four bytes, the largest first, with those of all short ones.
+        by: dict[bytes, set[int]] = {}
+        for raw in ranks:
+            if len(raw) > 3:
+                by.setdefault(raw[-4:], set()).add(len(raw))
+        self.sizes = {end: (*sorted(n, reverse=True), *SHORT) for end, n in by.items()}
 
     def merge(self, piece: bytes) -> list[int]:
         """The encoding by its definition: the lowest-ranked neighbours merge, the leftmost first."""
@@ -46,16 +54,57 @@ class Vocabulary:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def parts(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None of a byte, and of a token that no merge makes."""
+        raw = self.bytes[token]
+        now = [raw[i : i + 1] for i in range(len(raw))]
+        while len(now) > 2:
+            ranks = [self.ranks.get(now[i] + now[i + 1], token) for i in range(len(now) - 1)]
+            i = min(range(len(ranks)), key=ranks.__getitem__)
+            if ranks[i] >= token:
+                return None
+            now[i : i + 2] = [now[i] + now[i + 1]]
+        return (self.ranks[now[0]], self.ranks[now[1]]) if len(now) == 2 else None
+
     def stands(self, token: int) -> bool:
+        """Whether the token's bytes encode to just the token."""
         if (found := self.whole.get(token)) is None:
-            found = self.whole[token] = self.merge(self.bytes[token]) == [token]
+            found = self.whole[token] = len(self.bytes[token]) == 1 or self.parts(token) is not None
+        return found
+
+    def _edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
+        """What stands at the token's left (0) or right (1) end while it is made, the last first, each with the rank at
+        which it is merged into the next larger."""
+        if (found := self.edges[side].get(token)) is None:
+            found, now, until = [], token, float("inf")
+            while True:
+                found.append((self.bytes[now], until))
+                parts = self.parts(now)
+                if parts is None:
+                    break
+                until, now = now, parts[side]
+            self.edges[side][token] = found
         return found
 
     def fits(self, a: int, b: int) -> bool:
+        """Whether the bytes of a and b encode to just a and b.
+
+        They do unless something at the right end of a and something at the left end of b merge before either is merged
+        into what is larger in its own token. Of equal ranks the one further left merges first."""
         if (found := self.valid.get((a, b))) is None:
             if len(self.valid) >= self.pairs_kept:
                 self.valid.clear()
-            found = self.valid[a, b] = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
+            ranks, left = self.ranks, self._edge(b, 0)
+            found = True
+            for x, x_until in self._edge(a, 1):
+                for y, y_until in left:
+                    rank = ranks.get(x + y)
+                    if rank is not None and rank < x_until and rank <= y_until:
+                        found = False
+                        break
+                if not found:
+                    break
+            self.valid[a, b] = found
         return found
 
 
@@ -69,10 +118,22 @@ class Prefixes:
 
     def _find(self, text: bytes, last: list[int], i: int) -> int:
         v = self.vocabulary
-        ranks = v.ranks
-        for start in range(max(0, i - v.longest), i):
-            token = ranks.get(text[start:i])
-            if token is not None and v.stands(token) and (not start or v.fits(last[start - 1], token)):
+        rank, whole, valid = v.ranks.get, v.whole.get, v.valid.get
+        for n in v.sizes.get(text[i - 4 : i], SHORT) if i > 3 else SHORT[3 - i :]:
+            start = i - n
+            if start < 0:
+                continue
+            token = rank(text[start:i])
+            if token is None:
+                continue
+            if start:
+                before = last[start - 1]
+                ok = valid((before, token))
+                if ok is None:
+                    ok = v.stands(token) and v.fits(before, token)
+                if ok:
+                    return token
+            elif whole(token) or v.stands(token):
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
@@ -109,19 +170,26 @@ class Prefixes:
 
 
 class Pieces(dict):
-    """Tokens of pieces, kept up to a number of pieces; a piece that is a token is that token."""
+    """Tokens of pieces; a piece that is a token is that token.
+
+    Two generations are kept: when the young one is full it becomes the old one, whose pieces come back when they are met
+    again. So frequent pieces stay, rare ones go, and no more than twice `kept` are held."""
 
     def __init__(self, vocabulary: Vocabulary, kept: int):
-        self.vocabulary, self.kept = vocabulary, kept
+        self.vocabulary, self.kept, self.old = vocabulary, kept, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8")
-        token = self.vocabulary.ranks.get(raw)
-        out = (token,) if token is not None else tuple(Prefixes(self.vocabulary, raw).tokens())
-        if len(raw) <= 64:
-            if len(self) >= self.kept:
-                self.clear()
-            self[piece] = out
+        out = self.old.get(piece)
+        if out is None:
+            raw = piece.encode("utf-8")
+            token = self.vocabulary.ranks.get(raw)
+            out = (token,) if token is not None else tuple(Prefixes(self.vocabulary, raw).tokens())
+            if len(raw) > 64:
+                return out
+        if len(self) >= self.kept:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = out
         return out
 
 
@@ -135,11 +203,11 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", into: str = "token_ids", kept: int = 300_000, rows: int = 256) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", into: str = "token_ids", kept: int = 400_000, rows: int = 256) -> DataFrame:
     """docs with array<int> column `into` (replaced if there): the ids of each whole text, without special tokens.
 
     Null and empty texts have no ids. The rank file is read on each executor by its path, which must be the same there.
-    `kept` pieces are remembered by each worker; rare and long ones are encoded anew, with the same result.
+    Up to twice `kept` pieces are remembered by each worker; rare and long ones are encoded anew, with the same result.
     """
     path = ranks_path or public_tokenizers.path(RANKS)
     columns = [c for c in docs.columns if c != into]
