@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessara.llm.common import written
+
 ORDER = 5
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -199,33 +201,39 @@ def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1
     return w
 
 
-def fit(labelled: DataFrame, max_rows: int = 20_000, max_grams: int = 1_000_000, calibration: int = 4_000) -> Model:
-    """Models from labelled texts. labelled: key (long), text, toxic (0 or 1; other rows are left out).
-
-    Each class gives at most `max_rows` rows to the counts and `calibration` to the weights, by hash of the text, of which
-    equal ones count once; four fifths of the hashes count. At most `max_grams` 5-grams are kept, the most frequent. Without both labels all
-    scores are 0 or 1 halves below; see score()."""
-    rows = labelled.where("toxic IN (0, 1)").select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h"))
-    rows = rows.dropDuplicates(["h", "toxic"])
-    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    part = F.pmod(F.col("h"), F.lit(5))
-
-    def bounded(some: DataFrame, most: int, of_all: float) -> DataFrame:
-        """Rows whose hash lies below what leaves about `most` of each class."""
-        limit = F.lit(float(1 << 30))
-        for label, n in sizes.items():
-            limit = F.when(F.col("toxic") == label, F.lit(float(1 << 30) * min(1.0, most / max(1.0, n * of_all)))).otherwise(limit)
-        return some.where(F.col("h") < limit)
-
-    counts = count_grams(bounded(rows.where(part > 0), max_rows, 0.8)).orderBy(F.desc(F.col("plain") + F.col("toxic")), "code").limit(max_grams).toPandas()
-    if not sizes.get(0) or not sizes.get(1) or not len(counts):
-        model = fit_counts(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)) if not len(counts) else fit_counts(counts.code.to_numpy(np.uint64), counts.plain.to_numpy(float), counts.toxic.to_numpy(float))
-        model.weights = np.array([0.0, 0.0, 0.0, 30.0 if sizes.get(1) else -30.0])
-        return model
+def training_keys(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """key, toxic, part of the documents to learn from: labelled 0 or 1, not held out, one of each text, about `most` of
+    either label and never over twice as many in all. part, 0 to 4, follows from the text.
+
+    Labels are sampled by hash of the key before documents are met, and documents are met by a broadcast of that bounded
+    sample, so no text moves."""
+    known = labels.where("toxic IN (0, 1)").select(F.col(id_col).alias("key"), "toxic").where(F.col("key").isNotNull() & ~held_out("key")).distinct()
+    share = F.lit(0.0)
+    for r in known.groupBy("toxic").count().collect():
+        share = F.when(F.col("toxic") == r.toxic, F.lit(min(1.0, most / r["count"]))).otherwise(share)
+    sampled = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share * (1 << 30)).limit(4 * most)
+    texts = docs.select(F.col(id_col).alias("key"), F.xxhash64(text_col).alias("text_hash")).join(F.broadcast(sampled), "key")
+    one = texts.groupBy("text_hash", "toxic").agg(F.min("key").alias("key"))
+    return written(one.select("key", "toxic", F.pmod("text_hash", F.lit(5)).alias("part")), "toxicity-keys")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 25_000, max_grams: int = 1_000_000) -> Model:
+    """Models of the labelled documents that aren't held out, about `most` of either label (a documented bound of what a
+    classifier learns from). Four fifths of their texts are counted, the rest sets the weights of the features.
+
+    At most `max_grams` 5-grams are kept, the most frequent. Without both labels every score is 0, or 1 if there are only
+    toxic ones."""
+    keys = training_keys(docs, labels, id_col, text_col, most)
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(keys), "key")
+    counts = count_grams(rows.where("part > 0")).orderBy(F.desc(F.col("plain") + F.col("toxic")), "code").limit(max_grams).toPandas()
     model = fit_counts(counts.code.to_numpy(np.uint64), counts.plain.to_numpy(float), counts.toxic.to_numpy(float))
-    found = score_rows(bounded(rows.where(part == 0), calibration, 0.2), model, ["toxic"], features=True).toPandas()
+    known = {r.toxic for r in keys.select("toxic").distinct().collect()}
+    if len(known) < 2:
+        model.weights = np.array([0.0, 0.0, 0.0, 30.0 if 1 in known else -30.0])
+        return model
+    found = score_rows(rows.where("part = 0"), model, ["toxic"], features=True).toPandas()
     if found.toxic.nunique() < 2:
-        found = pd.concat([found, score_rows(bounded(rows.where(part > 0), calibration, 0.8), model, ["toxic"], features=True).toPandas()])
+        found = pd.concat([found, score_rows(rows.where("part > 0"), model, ["toxic"], features=True).toPandas()])
     model.weights = fit_weights(np.array(found.x.tolist(), float).reshape(-1, 3), found.toxic.to_numpy(int))
     return model
 
@@ -253,19 +261,13 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, text, toxic of the labelled documents that aren't held out. A null id has no label."""
-    few = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where(~held_out("key"))
-    return few.join(labels.select(F.col(id_col).alias("key"), "toxic").where("toxic IN (0, 1)").distinct(), "key")
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs. Only the text enters the score.
 
     A text without words, null too, scores as a text that is no evidence at all: the constant of the weights, which
     lies on the ordinary side. Repeated rows score alike. Without labels of both kinds every score is 0 (1 if there
     are toxic ones only). An empty table gives an empty result."""
-    model = model or fit(training_rows(docs, labels, id_col, text_col))
+    model = model or fit(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scored = score_rows(rows.select("doc_id", held_out().alias("held_out"), "text"), model, ["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -273,7 +275,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, whose score is below the threshold."""
-    model = fit(training_rows(docs, labels, id_col, text_col))
+    model = fit(docs, labels, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, schema = docs.columns.index(text_col), docs.schema
 
