@@ -51,11 +51,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("~"))
     salt = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")).cast("binary")), 1, 2)
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("source_key"), salt.alias("salt"), n_words(F.col(text_col)).alias("size"), *row)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("source_key"), salt.alias("salt"), n_words(F.col(text_col)).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     bits = F.length(F.bin("size"))
-    sized = sized.withColumn("class", F.when(F.col("size") < 8, F.col("size")).otherwise(bits * 8 + F.expr("shiftright(size, length(bin(size)) - 4)") % 8))
-    sized = written(sized, "mix-sizes")
+    rows = rows.withColumn("class", F.when(F.col("size") < 8, F.col("size")).otherwise(bits * 8 + F.expr("shiftright(size, length(bin(size)) - 4)") % 8))
+    sized = written(rows.drop("row"), "mix-sizes")
     buckets = sized.groupBy("source_key", "source", "class", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     buckets = written(buckets, "mix-buckets")
     targets = source_targets(buckets.groupBy("source_key", "source").agg(F.sum("size").alias("source_size")), weights, share, cap)
@@ -63,7 +62,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     before = buckets.select("source_key", "class", "salt", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
     start = before.join(targets, "source_key")
     own = Window.partitionBy("source_key", "class", "salt").orderBy("size", "doc_id")
-    placed = sized.withColumn("own", F.row_number().over(own)).join(start, ["source_key", "class", "salt"])
+    placed = (rows if keep else sized).withColumn("own", F.row_number().over(own)).join(start, ["source_key", "class", "salt"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = md5_fraction(F.concat(F.lit(f"{seed}:"), F.col("source_key")))
     placed = placed.withColumns({"place": F.col("before") + F.col("own"), "rate": rate, "offset": offset})
