@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
 SHORT = (3, 2, 1)
+#: Beginnings of pieces whose tables are kept.
+HEADS = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,6 +38,7 @@ class Vocabulary:
         self.valid: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
+        self.heads: dict[bytes, list[int]] = {}
         #: Sizes of the tokens that end in four bytes, the largest first, with those of all short ones.
         by: dict[bytes, set[int]] = {}
         for raw in ranks:
@@ -54,6 +57,9 @@ class Vocabulary:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+
     def parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None of a byte, and of a token that no merge makes."""
         raw = self.bytes[token]
@@ -108,18 +114,10 @@ class Vocabulary:
         return found
 
 
-class Prefixes:
-    """The last token of each byte prefix of one piece. Appending extends it exactly; an edit recomputes from the edit
-    to where the old table holds again."""
-
-    def __init__(self, vocabulary: Vocabulary, piece: bytes = b""):
-        self.vocabulary, self.text, self.last = vocabulary, b"", []
-        self.append(piece)
-
-    def _find(self, text: bytes, last: list[int], i: int) -> int:
-        v = self.vocabulary
-        rank, whole, valid = v.ranks.get, v.whole.get, v.valid.get
-        for n in v.sizes.get(text[i - 4 : i], SHORT) if i > 3 else SHORT[3 - i :]:
+    def last_token(self, text: bytes, last: list[int], i: int) -> int:
+        """The last token of text[:i], from those of shorter prefixes."""
+        rank, valid = self.ranks.get, self.valid.get
+        for n in self.sizes.get(text[i - 4 : i], SHORT) if i > 3 else SHORT[3 - i :]:
             start = i - n
             if start < 0:
                 continue
@@ -130,18 +128,60 @@ class Prefixes:
                 before = last[start - 1]
                 ok = valid((before, token))
                 if ok is None:
-                    ok = v.stands(token) and v.fits(before, token)
+                    ok = self.stands(token) and self.fits(before, token)
                 if ok:
                     return token
-            elif whole(token) or v.stands(token):
+            elif self.stands(token):
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
-    def append(self, more: bytes) -> None:
-        text, last = self.text + more, self.last
+    def extend(self, text: bytes, last: list[int]) -> list[int]:
+        """last, the last tokens of the first prefixes, for all prefixes of text."""
+        find = self.last_token
         for i in range(len(last) + 1, len(text) + 1):
-            last.append(self._find(text, last, i))
-        self.text = text
+            last.append(find(text, last, i))
+        return last
+
+    def back(self, last: list[int]) -> list[int]:
+        """The tokens of the text whose prefixes have these last tokens."""
+        out, i, raw = [], len(last), self.bytes
+        while i:
+            token = last[i - 1]
+            out.append(token)
+            i -= len(raw[token])
+        out.reverse()
+        return out
+
+    def encode(self, text: bytes) -> list[int]:
+        """The tokens of a piece. Pieces that begin alike share the table of their beginning: those of 5 and 9 bytes are
+        kept, up to a number."""
+        last: list[int] = []
+        heads, n = self.heads, len(text)
+        for size in (9, 5):
+            if n > size and (head := heads.get(text[:size])) is not None:
+                last = head.copy()
+                break
+        known = len(last)
+        self.extend(text, last)
+        for size in (5, 9):
+            if known < size < n:
+                if len(heads) >= HEADS:
+                    heads.clear()
+                heads[text[:size]] = last[:size]
+        return self.back(last)
+
+
+class Prefixes:
+    """The last token of each byte prefix of one piece. Appending extends it exactly; an edit recomputes from the edit
+    to where the old table holds again."""
+
+    def __init__(self, vocabulary: Vocabulary, piece: bytes = b""):
+        self.vocabulary, self.text, self.last = vocabulary, b"", []
+        self.append(piece)
+
+    def append(self, more: bytes) -> None:
+        self.text += more
+        self.vocabulary.extend(self.text, self.last)
 
     def replace(self, start: int, end: int, by: bytes) -> int:
         """Puts `by` for text[start:end]; returns how many prefixes were looked at again.
@@ -151,7 +191,7 @@ class Prefixes:
         text = self.text[:start] + by + self.text[end:]
         shift, old, last, same, seen = len(text) - len(self.text), self.last, self.last[:start], 0, 0
         for i in range(start + 1, len(text) + 1):
-            last.append(self._find(text, last, i))
+            last.append(self.vocabulary.last_token(text, last, i))
             seen += 1
             was = i - shift
             same = same + 1 if i > start + len(by) and was > end and old[was - 1] == last[-1] else 0
@@ -162,11 +202,7 @@ class Prefixes:
         return seen
 
     def tokens(self) -> list[int]:
-        out, i, sizes = [], len(self.last), self.vocabulary.bytes
-        while i:
-            out.append(self.last[i - 1])
-            i -= len(sizes[out[-1]])
-        return out[::-1]
+        return self.vocabulary.back(self.last)
 
 
 class Pieces(dict):
@@ -183,7 +219,7 @@ class Pieces(dict):
         if out is None:
             raw = piece.encode("utf-8")
             token = self.vocabulary.ranks.get(raw)
-            out = (token,) if token is not None else tuple(Prefixes(self.vocabulary, raw).tokens())
+            out = (token,) if token is not None else tuple(self.vocabulary.encode(raw))
             if len(raw) > 64:
                 return out
         if len(self) >= self.kept:
@@ -203,30 +239,35 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", into: str = "token_ids", kept: int = 400_000, rows: int = 256) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", into: str = "token_ids", decoded: str | None = None, kept: int = 400_000, rows: int = 256) -> DataFrame:
     """docs with array<int> column `into` (replaced if there): the ids of each whole text, without special tokens.
 
-    Null and empty texts have no ids. The rank file is read on each executor by its path, which must be the same there.
+    Null and empty texts have no ids. With `decoded`, a binary column of that name has the bytes that the ids decode to. The
+    rank file is read on each executor by its path, which must be the same there.
     Up to twice `kept` pieces are remembered by each worker; rare and long ones are encoded anew, with the same result.
     """
     path = ranks_path or public_tokenizers.path(RANKS)
-    columns = [c for c in docs.columns if c != into]
+    columns = [c for c in docs.columns if c not in (into, decoded)]
     few = docs.select(*[F.col(f"`{c}`") for c in columns])
     at = columns.index(text_col)
+    names = [*columns, into, *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, find = Pieces(vocabulary(path), kept), regex.compile(pattern).findall
-        one = pieces.__getitem__
+        v, find = vocabulary(path), regex.compile(pattern).findall
+        one = Pieces(v, kept).__getitem__
         for whole in batches:
             for lo in range(0, whole.num_rows, rows):
                 batch = whole.slice(lo, rows)
                 ids = [np.fromiter(chain.from_iterable(map(one, find(t.as_py() or ""))), np.int32) for t in batch.column(at)]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*columns, into])
+                more = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if decoded:
+                    more.append(pa.array([v.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
 
-    return few.mapInArrow(run, few.select("*", F.array().cast("array<int>").alias(into)).schema)
+    schema = few.select("*", F.array().cast("array<int>").alias(into), *([F.lit(None).cast("binary").alias(decoded)] if decoded else [])).schema
+    return few.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ranks_path: str | None = None, ids_col: str = "token_ids", into: str = "decoded", rows: int = 256) -> DataFrame:
@@ -237,11 +278,11 @@ def decode(df: DataFrame, ranks_path: str | None = None, ids_col: str = "token_i
     at = columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = vocabulary(path).bytes.__getitem__
+        v = vocabulary(path)
         for whole in batches:
             for lo in range(0, whole.num_rows, rows):
                 batch = whole.slice(lo, rows)
-                out = [None if x.values is None else b"".join(map(piece, x.values.to_numpy(zero_copy_only=False).tolist())) for x in batch.column(at)]
+                out = [None if x.values is None else v.decode(x.values.to_numpy(zero_copy_only=False)) for x in batch.column(at)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*columns, into])
 
     return few.mapInArrow(run, few.select("*", F.lit(None).cast("binary").alias(into)).schema)

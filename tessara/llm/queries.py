@@ -35,7 +35,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digest(bpe.decode(bpe.encode(docs).select("doc_id", "token_ids")))
+    return bpe.digest(bpe.encode(docs, decoded="decoded"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
