@@ -10,21 +10,35 @@ from tessara.functions import vectors as V
 from tessara.operators import topk
 
 
+def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column], buckets: int = 1024) -> DataFrame:
+    """The values at places (from 0) of each group's sorted values, one column for each of `ranks`, which are expressions
+    of the group's count n. Nulls aren't counted.
+
+    Equal values become one row with a count. Each group's span is cut into buckets, whose counts are added up in order;
+    then only the values of the bucket in which a place falls are put in order. So no task sorts a group."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    span = counted.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__n").alias("n"))
+    part = (F.col(value) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0)) * buckets
+    cut = counted.join(span.drop("n"), by).withColumn("__b", F.coalesce(F.least(F.floor(part), F.lit(buckets - 1)), F.lit(0)))
+    per = cut.groupBy(*by, "__b").agg(F.sum("__n").alias("__m"))
+    upto = F.sum("__m").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
+    wanted = span.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("__k"), r.cast("long").alias("__r")) for k, r in ranks.items()])).alias("w")).select(*by, "w.*")
+    hit = per.withColumn("__upto", upto).join(wanted, by).where((F.col("__r") < F.col("__upto")) & (F.col("__r") >= F.col("__upto") - F.col("__m")))
+    inside = cut.select(*by, "__b", value, "__n").join(hit, [*by, "__b"])
+    along = Window.partitionBy(*by, "__k").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    found = inside.withColumn("__c", F.col("__upto") - F.col("__m") + F.sum("__n").over(along)).where(F.col("__c") > F.col("__r"))
+    return found.groupBy(*by).agg(*[F.min(F.when(F.col("__k") == k, F.col(value))).alias(k) for k in ranks])
+
+
 def upper_medians(df: DataFrame, by: list[str], value: str, low: float, high: float, into: str = "median", samples: int | None = None) -> DataFrame:
     """The upper median of each group, and 0 where it lies outside [low, high].
 
-    Without `samples` a group may be of any size: values are counted, the counts are added up in order, and the value
-    in which the middle falls is taken, so a hot value is one row. `samples`: a proven bound of a group's rows (frames
-    in a stack), for which the group is sorted as one array."""
+    A group may be of any size; `samples`: a proven bound of a group's rows (frames in a stack), for which the group is
+    sorted as one array."""
     if samples is not None:
-        mid = N.upper_median(F.collect_list(value))
-        found = df.groupBy(*by).agg(mid.alias("__m"))
+        found = df.groupBy(*by).agg(N.upper_median(F.collect_list(value)).alias("__m"))
     else:
-        counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-        along = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        total = counted.groupBy(*by).agg(F.floor(F.sum("__n") / 2).alias("__mid"))
-        placed = counted.withColumn("__upto", F.sum("__n").over(along)).join(total, by).where(F.col("__upto") > F.col("__mid"))
-        found = placed.groupBy(*by).agg(F.min(value).alias("__m"))
+        found = at_ranks(df, by, value, {"__m": F.floor(F.col("n") / 2)})
     inside = F.when(F.col("__m").between(low, high), F.col("__m")).otherwise(F.lit(0.0))
     return found.select(*by, inside.alias(into))
 
@@ -176,12 +190,11 @@ def registration_counts(df: DataFrame, ok: Column) -> DataFrame:
 
 def robust_stats(df: DataFrame, by: list[str], value: str, percentiles: tuple[float, ...] = (5, 95)) -> DataFrame:
     """mean, median (mean of the middles), sample variance and deviation, and nearest-rank percentiles."""
-    rank = Window.partitionBy(*by).orderBy(value)
-    placed = df.withColumns({"__i": F.row_number().over(rank) - 1})
-    total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    found = placed.join(total, by) if by else placed.crossJoin(F.broadcast(total))  # one row
-    picks = [F.max(F.when(F.col("__i") == F.round(F.lit(p / 100) * (F.col("__n") - 1)), F.col(value))).alias(f"p{p:g}") for p in percentiles]
-    return found.groupBy(*by).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.var_samp(value).alias("variance"), F.stddev_samp(value).alias("std_dev"), *picks)
+    n = F.col("n")
+    ranks = {"__lo": F.floor((n - 1) / 2), "__hi": F.floor(n / 2)} | {f"p{p:g}": F.round(F.lit(p / 100) * (n - 1)) for p in percentiles}
+    picked = at_ranks(df, by, value, ranks)
+    moments = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.var_samp(value).alias("variance"), F.stddev_samp(value).alias("std_dev"))
+    return moments.join(picked, by).select(*by, "mean", ((F.col("__lo") + F.col("__hi")) / 2).alias("median"), "variance", "std_dev", *[f"p{p:g}" for p in percentiles])
 
 
 def se3_moments(poses: DataFrame, by: list[str], weight: Column | None = None, pose: str = "pose") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,15 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str] | None = None, rati
     max_angle and below ratio times the second best's; with mutual, only if the same holds the other way round.
 
     left: by..., l_id, l_vec; right: by..., r_id, r_vec; by: the frame pair. Every pair within a frame pair is scored,
-    which is the operator's nature; frames have at most a few thousand rows, and different frame pairs are different
-    tasks. Without `by` the right side should be small. Ties to the smaller id. `extra`: a further condition of a
+    which is the operator's nature; a frame has at most a few thousand rows, so a frame pair is one matrix product in a
+    task of its own, and only matches come out. Without `by`, all rows are one frame pair: then pairs are scored where
+    the left rows lie, the right side should be small, and each task passes on its two best per row. Ties to the smaller id. `extra`: a further condition of a
     pair to count (guided matching), over l_ and r_ columns; others score as rejected.
 
     Returns by..., l_id, r_id, score."""
     by = by or []
+    if by and extra is None:
+        return _nearest_in_frames(left, right, by, ratio, max_angle, mutual, scale)
     pairs = left.join(right, by) if by else left.crossJoin(right)
     pairs = pairs.withColumn("score", V.dot(F.col("l_vec"), F.col("r_vec")) * scale)
     if extra is not None:
@@ -35,6 +40,40 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str] | None = None, rati
     return one.join(other.select(*by, "l_id", "r_id"), [*by, "l_id", "r_id"])
 
 
+def _nearest_in_frames(left: DataFrame, right: DataFrame, by: list[str], ratio: float, max_angle: float | None, mutual: bool, scale: float) -> DataFrame:
+    def best(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the best of each row, the first of equals, and whether it passes."""
+        at = s.argmax(1)
+        top = s[np.arange(len(s)), at]
+        rest = s.copy()
+        rest[np.arange(len(s)), at] = -np.inf
+        second = rest.max(1)
+        angle = np.arccos(np.clip(top, -1, 1))
+        ok = (second == -np.inf) | (angle < ratio * np.arccos(np.clip(second, -1, 1)))
+        return at, ok if max_angle is None else ok & (angle < max_angle)
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = [*by, "l_id", "r_id", "score"]
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=names)
+        a, b = a.sort_values("l_id"), b.sort_values("r_id")
+        s = np.array(a.l_vec.tolist(), float) @ np.array(b.r_vec.tolist(), float).T * scale
+        at, ok = best(s)
+        if mutual:
+            back, back_ok = best(s.T)
+            ok &= (back[at] == np.arange(len(a))) & back_ok[at]
+        i = np.flatnonzero(ok)
+        out = pd.DataFrame({"l_id": a.l_id.to_numpy()[i], "r_id": b.r_id.to_numpy()[at[i]], "score": s[i, at[i]]})
+        for k, v in zip(by, key):
+            out[k] = v
+        return out[names]
+
+    own = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in by)
+    ids = f"l_id {left.schema['l_id'].dataType.simpleString()}, r_id {right.schema['r_id'].dataType.simpleString()}"
+    l, r = left.select(*by, "l_id", "l_vec"), right.select(*by, "r_id", "r_vec")
+    return l.groupBy(*by).cogroup(r.groupBy(*by)).applyInPandas(run, f"{own}, {ids}, score double")
+
+
 def ratio_test(pairs: DataFrame, by: list[str], other: str, ratio: float, max_angle: float | None) -> DataFrame:
     top = topk.best_two(pairs, by, [F.desc("score"), F.col(other)], "score")
     close = F.lit(True) if max_angle is None else V.angle(F.col("score")) < max_angle

@@ -82,9 +82,12 @@ def circular_smooth(df: DataFrame, by: list[str], bin_col: str, value: str, bins
     """Rounds of a mean over each bin and its two neighbours in a ring of `bins` bins, absent ones zero."""
     ring = df.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(bin_col, value))).alias("__m"))
     values = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.col("__m")[i], F.lit(0.0)))
-    ring = ring.withColumn("__v", values)
-    for _ in range(rounds):
-        ring = ring.withColumn("__v", F.transform("__v", lambda x, i: (F.get("__v", (i + bins - 1) % bins) + x + F.get("__v", (i + 1) % bins)) / 3))
+
+    def once(v: Column, _: Column) -> Column:
+        return F.transform(v, lambda x, i: (F.get(v, (i + bins - 1) % bins) + x + F.get(v, (i + 1) % bins)) / 3)
+
+    smooth = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), values, once) if rounds else values
+    ring = ring.withColumn("__v", smooth)
     return ring.select(*by, F.posexplode("__v").alias(bin_col, value))
 
 
