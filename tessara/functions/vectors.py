@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -9,6 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(v: Column, f: Callable[[Column], Column]) -> Column:
+    """f(v) with v worked out once, however often f uses it."""
+    return F.element_at(F.transform(F.array(v), f), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     """The sum of products in order of the index, in double."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -24,8 +30,7 @@ def scaled(v: Column, s: Column | float) -> Column:
 
 def normalize(v: Column) -> Column:
     """v over its length; a zero vector stays."""
-    n = length(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return let(F.struct(v.alias("v"), length(v).alias("n")), lambda s: F.when(s.n > 0, F.transform(s.v, lambda x: x / s.n)).otherwise(s.v))
 
 
 def plus(a: Column, b: Column) -> Column:
@@ -92,33 +97,35 @@ def inverse2(a: Column) -> Column:
 
 
 def inverse3(a: Column) -> Column:
-    d = det3(a)
     cofactors = [(4, 8, 5, 7), (2, 7, 1, 8), (1, 5, 2, 4), (5, 6, 3, 8), (0, 8, 2, 6), (2, 3, 0, 5), (3, 7, 4, 6), (1, 6, 0, 7), (0, 4, 1, 3)]
-    return F.array(*[(a[p] * a[q] - a[r] * a[s]) / d for p, q, r, s in cofactors])
+    return let(a, lambda a: let(det3(a), lambda d: F.array(*[(a[p] * a[q] - a[r] * a[s]) / d for p, q, r, s in cofactors])))
 
 
 def quaternion_to_matrix(q: Column) -> Column:
-    x, y, z, w = (q[i] for i in range(4))
-    return F.array(
-        1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w),
-        2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w),
-        2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y),
-    )
+    def of(q: Column) -> Column:
+        x, y, z, w = (q[i] for i in range(4))
+        return F.array(
+            1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w),
+            2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w),
+            2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y),
+        )
+
+    return let(q, of)
 
 
 def matrix_to_quaternion(r: Column) -> Column:
     """x, y, z, w of a rotation, by its largest diagonal term."""
 
-    def unit(*parts: Column) -> Column:
-        return normalize(F.array(*parts))
+    def of(r: Column) -> Column:
+        four = (
+            F.when(r[0] + r[4] + r[8] > 0, F.array(r[7] - r[5], r[2] - r[6], r[3] - r[1], 1 + r[0] + r[4] + r[8]))
+            .when((r[0] >= r[4]) & (r[0] >= r[8]), F.array(1 + r[0] - r[4] - r[8], r[1] + r[3], r[2] + r[6], r[7] - r[5]))
+            .when(r[4] >= r[8], F.array(r[1] + r[3], 1 - r[0] + r[4] - r[8], r[5] + r[7], r[2] - r[6]))
+            .otherwise(F.array(r[2] + r[6], r[5] + r[7], 1 - r[0] - r[4] + r[8], r[3] - r[1]))
+        )
+        return normalize(four)
 
-    trace = r[0] + r[4] + r[8]
-    return (
-        F.when(trace > 0, unit(r[7] - r[5], r[2] - r[6], r[3] - r[1], 1 + trace))
-        .when((r[0] >= r[4]) & (r[0] >= r[8]), unit(1 + r[0] - r[4] - r[8], r[1] + r[3], r[2] + r[6], r[7] - r[5]))
-        .when(r[4] >= r[8], unit(r[1] + r[3], 1 - r[0] + r[4] - r[8], r[5] + r[7], r[2] - r[6]))
-        .otherwise(unit(r[2] + r[6], r[5] + r[7], 1 - r[0] - r[4] + r[8], r[3] - r[1]))
-    )
+    return let(r, of)
 
 
 def quaternion_product(a: Column, b: Column) -> Column:
@@ -150,23 +157,28 @@ def transform_point(a: Column, p: Column) -> Column:
 
 def compose(a: Column, b: Column) -> Column:
     """First b, then a."""
-    return pose(quaternion_product(a["q"], b["q"]), transform_point(a, b["t"]))
+    return let(a, lambda a: let(b, lambda b: pose(quaternion_product(a["q"], b["q"]), transform_point(a, b["t"]))))
 
 
 def inverse_pose(a: Column) -> Column:
-    q = F.array(-a["q"][0], -a["q"][1], -a["q"][2], a["q"][3])
-    return pose(q, scaled(rotate(q, a["t"]), -1.0))
+    def of(a: Column) -> Column:
+        q = F.array(-a["q"][0], -a["q"][1], -a["q"][2], a["q"][3])
+        return pose(q, scaled(rotate(q, a["t"]), -1.0))
+
+    return let(a, of)
 
 
 def pose_to_matrix(a: Column) -> Column:
     """4 x 4."""
-    r, t = quaternion_to_matrix(a["q"]), a["t"]
-    return F.array(*[x for i in range(3) for x in (r[3 * i], r[3 * i + 1], r[3 * i + 2], t[i])], *map(F.lit, (0.0, 0.0, 0.0, 1.0)))
+    def of(s: Column) -> Column:
+        r, t = s.r, s.t
+        return F.array(*[x for i in range(3) for x in (r[3 * i], r[3 * i + 1], r[3 * i + 2], t[i])], *map(F.lit, (0.0, 0.0, 0.0, 1.0)))
+
+    return let(a, lambda a: let(F.struct(quaternion_to_matrix(a["q"]).alias("r"), a["t"].alias("t")), of))
 
 
 def matrix_to_pose(m: Column) -> Column:
-    r = F.array(*[m[4 * i + j] for i in range(3) for j in range(3)])
-    return pose(matrix_to_quaternion(r), F.array(m[3], m[7], m[11]))
+    return let(m, lambda m: pose(matrix_to_quaternion(matrix_rotation(m)), F.array(m[3], m[7], m[11])))
 
 
 def matrix_rotation(m: Column) -> Column:

@@ -34,7 +34,7 @@ def normals(points: DataFrame, by: list[str] = FRAME) -> DataFrame:
     low = F.lead("p").over(Window.partitionBy(*by, "x").orderBy("y"))
     low_y = F.lead("y").over(Window.partitionBy(*by, "x").orderBy("y"))
     near = points.withColumns({"__r": F.when(right_x == F.col("x") + 1, right), "__d": F.when(low_y == F.col("y") + 1, low)})
-    n = V.normalize(V.cross(V.minus(F.col("__r"), F.col("p")), V.minus(F.col("__d"), F.col("p"))))
+    n = F.when(F.col("__r").isNotNull() & F.col("__d").isNotNull(), V.normalize(V.cross(V.minus(F.col("__r"), F.col("p")), V.minus(F.col("__d"), F.col("p")))))
     zero = F.array(*[F.lit(0.0)] * 3)
     return near.withColumn("n", F.coalesce(n, zero)).drop("__r", "__d")
 

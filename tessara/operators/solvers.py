@@ -193,7 +193,8 @@ _BETAS = [(i, j) for j in range(4) for i in range(j + 1)]
 def epnp(p: np.ndarray, uv: np.ndarray, k: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray] | None:
     """Pose of a calibrated camera from four or more points, by four control points: points are weighted sums of them,
     their places in the camera's frame lie in a null space, and weights in it follow from their known distances.
-    Three starts with one, two and three weights, five Gauss-Newton steps each, the least pixel error wins."""
+    Three starts with one, two and three weights, five Gauss-Newton steps each, the least pixel error wins; a pose of
+    under six points is refined."""
     n = len(p)
     if n < 4:
         return None
@@ -234,6 +235,9 @@ def epnp(p: np.ndarray, uv: np.ndarray, k: tuple[float, float, float, float]) ->
             camera = -camera
         pose = kabsch(p, camera)
         error = pixel_error(pose, p, uv, k).mean()
+        if n < 6 and np.isfinite(error) and error > 1e-6:  # so few points leave the weights loose
+            pose = refine_pose(*pose, p, uv, k, 20, np.inf)[:2]
+            error = pixel_error(pose, p, uv, k).mean()
         if error < least:
             best, least = pose, error
     return best

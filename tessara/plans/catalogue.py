@@ -425,17 +425,17 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"SELECT vx, vy, vz, round(sum(w * sdf) / sum(w), 6) AS sdf, least(sum(w), 500) AS weight FROM {OBSERVED} GROUP BY 1, 2, 3 HAVING sum(w) > 0.001")
+@query(f"SELECT vx, vy, vz, round(sum(w * sdf) / sum(w), 12) AS sdf, least(sum(w), 500) AS weight FROM {OBSERVED} GROUP BY 1, 2, 3 HAVING sum(w) > 0.001")
 def voxel_merge(spark, sf_dir):
-    return rounded(fusion.merge(observed(spark, sf_dir), most=500))
+    return rounded(fusion.merge(observed(spark, sf_dir), most=500), 12)
 
 
 @query(f"""
 WITH o AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN -w ELSE w END AS s FROM {OBSERVED})
-SELECT vx, vy, vz, CASE WHEN sum(s * sdf) = 0 THEN 0 ELSE round(sum(s * sdf) / sum(s), 9) END AS sdf, least(sum(s), 99999999) AS weight FROM o GROUP BY 1, 2, 3 HAVING sum(s) > 0.001""")
+SELECT vx, vy, vz, CASE WHEN round(sum(s * sdf) / sum(s), 12) = 0 THEN 0 ELSE round(sum(s * sdf) / sum(s), 12) END AS sdf, least(sum(s), 99999999) AS weight FROM o GROUP BY 1, 2, 3 HAVING sum(s) > 0.001""")
 def voxel_deintegrate(spark, sf_dir):
     o = observed(spark, sf_dir)
-    return rounded(fusion.merge(o.withColumn("weight", F.when(F.col("l_returnflag") == "R", -F.col("weight")).otherwise(F.col("weight")))), 9)
+    return rounded(fusion.merge(o.withColumn("weight", F.when(F.col("l_returnflag") == "R", -F.col("weight")).otherwise(F.col("weight")))), 12)
 
 
 @query(f"SELECT vx, vy, vz, round(list_reduce(list(CAST(l_discount AS DOUBLE) ORDER BY frame_index, l_discount), lambda a, b: 0.8::DOUBLE * a + 0.2::DOUBLE * b), 6) AS r FROM {OBSERVED} GROUP BY 1, 2, 3")
@@ -615,7 +615,7 @@ def scalar_strings(spark, sf_dir):
 
 @query("""
 WITH p AS (SELECT l_orderkey, l_linenumber, (l_quantity - 25.5::DOUBLE) / 500 * z AS x, (l_discount * 100 - 5) / 400 * z AS y, z FROM (SELECT *, 1 + l_tax AS z FROM lineitem))
-SELECT l_orderkey, l_linenumber, CASE WHEN x = 0 THEN 0 ELSE round(x, 6) END AS x, CASE WHEN y = 0 THEN 0 ELSE round(y, 6) END AS y, round(z, 6) AS z, round(500 * x / z + 25.5, 6) AS u, round(400 * y / z + 5, 6) AS v FROM p""")
+SELECT l_orderkey, l_linenumber, CASE WHEN round(x, 6) = 0 THEN 0 ELSE round(x, 6) END AS x, CASE WHEN round(y, 6) = 0 THEN 0 ELSE round(y, 6) END AS y, round(z, 6) AS z, round(500 * x / z + 25.5, 6) AS u, CASE WHEN round(400 * y / z + 5, 6) = 0 THEN 0 ELSE round(400 * y / z + 5, 6) END AS v FROM p""")
 def camera_round_trip(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem")
     p = C.unproject(F.col("l_quantity"), F.col("l_discount") * 100, 1 + F.col("l_tax"), 500.0, 400.0, 25.5, 5.0)
