@@ -51,7 +51,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("~"))
     salt = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")).cast("binary")), 1, 2)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("source_key"), salt.alias("salt"), n_words(F.col(text_col)).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("source_key"), salt.alias("salt"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.inline(F.array(F.struct(n_words(F.col(text_col)).alias("size")))))
     bits = F.length(F.bin("size"))
     rows = rows.withColumn("class", F.when(F.col("size") < 8, F.col("size")).otherwise(bits * 8 + F.expr("shiftright(size, length(bin(size)) - 4)") % 8))
     sized = written(rows.drop("row"), "mix-sizes")
