@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def score_rows(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", features: bool = False, rows: int = 512) -> DataFrame:
+def score_rows(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", features: bool = False, rows: int = 64) -> DataFrame:
     """`columns` of docs with `score`, or with the features `x`. The model, of a fixed size, is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     few = docs.select(*columns, F.col(text_col).alias("_text"))
@@ -282,8 +282,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
+            for lo in range(0, whole.num_rows, 64):
+                batch = whole.slice(lo, 64)
                 yield batch.filter(pa.array(m.score(batch.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, schema)
