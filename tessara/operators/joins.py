@@ -20,18 +20,23 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str] | None = None, rati
 
     left: by..., l_id, l_vec; right: by..., r_id, r_vec; by: the frame pair. Every pair within a frame pair is scored,
     which is the operator's nature; a frame has at most a few thousand rows, so a frame pair is one matrix product in a
-    task of its own, and only matches come out. Without `by`, all rows are one frame pair: then pairs are scored where
-    the left rows lie, the right side should be small, and each task passes on its two best per row. Ties to the smaller id. `extra`: a further condition of a
+    task of its own, and only matches come out. Without `by`, all rows are one frame pair of any size: then it goes block
+    by block, see block_tops(). With `extra`, pairs are rows, as its condition is a column's; use it within frames. Ties to the smaller id. `extra`: a further condition of a
     pair to count (guided matching), over l_ and r_ columns; others score as rejected.
 
     Returns by..., l_id, r_id, score."""
     by = by or []
     if by and extra is None:
         return _nearest_in_frames(left, right, by, ratio, max_angle, mutual, scale)
+    if extra is None:
+        tops = block_tops(left, right, scale=scale)
+        one = ratio_test(tops.where("side = 'l'").select("l_id", "r_id", "score"), ["l_id"], "r_id", ratio, max_angle)
+        if not mutual:
+            return one
+        other = ratio_test(tops.where("side = 'r'").select("l_id", "r_id", "score"), ["r_id"], "l_id", ratio, max_angle)
+        return one.join(other.select("l_id", "r_id"), ["l_id", "r_id"])
     pairs = left.join(right, by) if by else left.crossJoin(right)
-    pairs = pairs.withColumn("score", V.dot(F.col("l_vec"), F.col("r_vec")) * scale)
-    if extra is not None:
-        pairs = pairs.where(extra())
+    pairs = pairs.withColumn("score", V.dot(F.col("l_vec"), F.col("r_vec")) * scale).where(extra())
     pairs = pairs.select(*by, "l_id", "r_id", "score")
     one = ratio_test(pairs, [*by, "l_id"], "r_id", ratio, max_angle)
     if not mutual:
@@ -40,6 +45,34 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str] | None = None, rati
     return one.join(other.select(*by, "l_id", "r_id"), [*by, "l_id", "r_id"])
 
 
+def block_tops(left: DataFrame, right: DataFrame, scale: float = 1.0, block: int = 2048) -> DataFrame:
+    """side, l_id, r_id, score: what may be among the two best of a left row (side l) or a right row (side r).
+
+    Both sides are dealt into blocks of about `block` rows. Each pair of blocks is one group of a grid and one matrix
+    product, and hands on the two best of each of its rows either way. So no pair of rows is ever a row, and work
+    spreads over as many tasks as there are pairs of blocks."""
+    n_left, n_right = (max(1, -(-df.count() // block)) for df in (left, right))
+    l = left.select("l_id", "l_vec", F.pmod(F.xxhash64("l_id"), F.lit(n_left)).cast("int").alias("lb"), F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("rb"))
+    r = right.select("r_id", "r_vec", F.pmod(F.xxhash64("r_id"), F.lit(n_right)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("lb"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            a, b = a.sort_values("l_id"), b.sort_values("r_id")
+            s = np.array(a.l_vec.tolist(), float) @ np.array(b.r_vec.tolist(), float).T * scale
+            for side, m in (("l", s), ("r", s.T)):
+                rest, every = m.copy(), np.arange(len(m))
+                for _ in range(min(2, m.shape[1])):
+                    at = rest.argmax(1)
+                    i, j = (every, at) if side == "l" else (at, every)
+                    out.append(pd.DataFrame({"side": side, "l_id": a.l_id.to_numpy()[i], "r_id": b.r_id.to_numpy()[j], "score": m[every, at]}))
+                    rest[every, at] = -np.inf
+        return pd.concat(out) if out else pd.DataFrame(columns=["side", "l_id", "r_id", "score"])
+
+    ids = f"l_id {left.schema['l_id'].dataType.simpleString()}, r_id {right.schema['r_id'].dataType.simpleString()}"
+    return l.groupBy("lb", "rb").cogroup(r.groupBy("lb", "rb")).applyInPandas(run, f"side string, {ids}, score double")
+
+
 def _nearest_in_frames(left: DataFrame, right: DataFrame, by: list[str], ratio: float, max_angle: float | None, mutual: bool, scale: float) -> DataFrame:
     def best(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of the best of each row, the first of equals, and whether it passes."""

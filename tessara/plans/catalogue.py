@@ -54,7 +54,7 @@ def frames_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     left = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("l_id"), F.col("v").alias("l_vec"))
     right = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("r_id"), F.col("v").alias("r_vec"))
-    return left, small(right, 5_000)
+    return left, right
 
 
 SCORES = """
@@ -75,9 +75,8 @@ def nn_ratio_mutual(spark, sf_dir):
 
 @query(SCORES + "SELECT l_id, r_id, round(score, 6) AS score, round(second, 6) AS second FROM lr WHERE k = 1")
 def nn_top2(spark, sf_dir):
-    left, right = frames_of(spark, sf_dir)
-    scored = left.crossJoin(right).select("l_id", "r_id", V.dot(F.col("l_vec"), F.col("r_vec")).alias("score"))
-    return rounded(topk.best_two(scored, ["l_id"], [F.desc("score"), F.col("r_id")], "score"))
+    tops = joins.block_tops(*frames_of(spark, sf_dir)).where("side = 'l'").select("l_id", "r_id", "score")
+    return rounded(topk.best_two(tops, ["l_id"], [F.desc("score"), F.col("r_id")], "score"))
 
 
 @query(SCORES + "SELECT l_id, r_id, round(score, 6) AS score FROM lr WHERE k = 1 AND acos(least(score, 1)) < 1.25")

@@ -118,3 +118,16 @@ def test_nearest_in_frames_agrees_with_the_plain_form(spark):
     a = joins.nearest(left, right, ["pair"], ratio=0.9, max_angle=1.0).select("pair", "l_id", "r_id")
     b = joins.nearest(left, right, ["pair"], ratio=0.9, max_angle=1.0, extra=lambda: F.lit(True)).select("pair", "l_id", "r_id")
     assert rows(a) == rows(b) and a.count() > 0
+
+
+def test_block_by_block_agrees(spark):
+    rng = random.Random(3)
+    v = {n: [(i, [rng.choice([0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(n)] for n in (30, 41)}
+    left, right = spark.createDataFrame(v[30], "l_id long, l_vec array<double>"), spark.createDataFrame(v[41], "r_id long, r_vec array<double>")
+    tops = joins.block_tops(left, right, block=7)
+    for side, mine, other in (("l", "l_id", "r_id"), ("r", "r_id", "l_id")):
+        got = {r[mine]: (r[other], round(r.second, 9)) for r in topk.best_two(tops.where(F.col("side") == side), [mine], [F.desc("score"), F.col(other)], "score").collect()}
+        for i, a in v[30] if side == "l" else v[41]:
+            s = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b in (v[41] if side == "l" else v[30]))
+            assert got[i] == (s[0][1], round(-s[1][0], 9))
+    assert joins.nearest(left, right.limit(0)).count() == 0
