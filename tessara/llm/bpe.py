@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 RANKS = "byte_bpe_50k.tiktoken"
 SHORT = (3, 2, 1)
 #: Beginnings of pieces whose tables are kept.
-HEADS = 200_000
+HEADS = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -239,7 +239,7 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", into: str = "token_ids", decoded: str | None = None, kept: int = 400_000, rows: int = 256) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", into: str = "token_ids", decoded: str | None = None, kept: int = 250_000, rows: int = 256) -> DataFrame:
     """docs with array<int> column `into` (replaced if there): the ids of each whole text, without special tokens.
 
     Null and empty texts have no ids. With `decoded`, a binary column of that name has the bytes that the ids decode to. The
