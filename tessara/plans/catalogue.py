@@ -17,7 +17,7 @@ from tessara.functions import strings as T
 from tessara.functions import vectors as V
 from tessara.operators import aggs, estimate, features, fusion, graph, joins, registration, topk
 from tessara.operators import solvers as S
-from tessara.operators.sizes import small
+from tessara.operators.sizes import small, stored
 from tessara.sources import frames as sources
 from tessara.streaming import chunker
 
@@ -134,7 +134,7 @@ def orientation_consistent(spark, sf_dir):
 def postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     def bag(name: str, key: str, into: str) -> DataFrame:
         w = table(spark, sf_dir, name).select(F.col(key).alias(into), F.explode(F.split("text", " ")).alias("word")).where("word != ''")
-        return w.groupBy(into, "word").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        return stored(w.groupBy(into, "word").agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
     return bag("benchmark", "item_id", "query"), bag("documents", "doc_id", "ref")
 
