@@ -35,12 +35,12 @@ def grams(data: np.ndarray, order: int = ORDER) -> np.ndarray:
 
 
 class Table:
-    """A few numbers by code, in 2^bits slots of a fixed size. A slot has a check of its code, so another code that falls
-    there is found absent; of codes that share a slot the last put in stays."""
+    """A few numbers by code, in at least eight slots for each code. A slot has a check of its code, so another code that
+    falls there is found absent; of codes that share a slot the last put in stays."""
 
-    def __init__(self, bits: int, codes: np.ndarray, *values: np.ndarray, absent: tuple[float, ...]):
-        self.bits, self.absent = bits, np.array(absent, np.float32)
-        self.rows = np.zeros((1 << bits, 1 + len(values)), np.uint32)
+    def __init__(self, codes: np.ndarray, *values: np.ndarray, absent: tuple[float, ...]):
+        self.bits, self.absent = max(1, (8 * len(codes)).bit_length()), np.array(absent, np.float32)
+        self.rows = np.zeros((1 << self.bits, 1 + len(values)), np.uint32)
         slots, checks = self._place(codes)
         self.rows[slots, 0] = checks
         for i, v in enumerate(values):
@@ -153,7 +153,7 @@ def fit_counts(codes: np.ndarray, plain: np.ndarray, toxic: np.ndarray, discount
         contexts.append(c)
         rest.append(r)
     often = np.argsort(plain + toxic, kind="stable")  # the most frequent last, so that they keep their slots
-    five = Table(21, codes[often], own[0][often], own[1][often], absent=(0, 0))
+    five = Table(codes[often], own[0][often], own[1][often], absent=(0, 0))
 
     shared = {}
     shorter, n = codes, None
@@ -171,9 +171,9 @@ def fit_counts(codes: np.ndarray, plain: np.ndarray, toxic: np.ndarray, discount
         return every, out
 
     every, columns = joined([(contexts[0], rest[0]), (contexts[1], rest[1]), shared[4][:2]], (1, 1, 0))
-    four = Table(20, every, *columns, absent=(1, 1, 0))
+    four = Table(every, *columns, absent=(1, 1, 0))
     every, columns = joined([shared[4][2:], shared[3][:2]], (1, 0))
-    three = Table(18, every, *columns, absent=(1, 0))
+    three = Table(every, *columns, absent=(1, 0))
     left = np.ones(65536)
     left[shared[3][2].astype(np.int64)] = shared[3][3]
     ones, kinds = np.unique(shared[2][0] & np.uint64(255), return_counts=True)
@@ -217,16 +217,17 @@ def training_keys(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return written(one.select("key", "toxic", F.pmod("text_hash", F.lit(5)).alias("part")), "toxicity-keys")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 25_000, max_grams: int = 1_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 25_000) -> Model:
     """Models of the labelled documents that aren't held out, about `most` of either label (a documented bound of what a
     classifier learns from). Four fifths of their texts are counted, the rest sets the weights of the features.
 
-    At most `max_grams` 5-grams are kept, the most frequent. Without both labels every score is 0, or 1 if there are only
-    toxic ones."""
+    Every 5-gram of those texts is kept, so the model's size follows from them. Without both labels every score is 0, or 1
+    if there are only toxic ones."""
     keys = training_keys(docs, labels, id_col, text_col, most)
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(keys), "key")
-    counts = count_grams(rows.where("part > 0")).orderBy(F.desc(F.col("plain") + F.col("toxic")), "code").limit(max_grams).toPandas()
-    model = fit_counts(counts.code.to_numpy(np.uint64), counts.plain.to_numpy(float), counts.toxic.to_numpy(float))
+    counts = count_grams(rows.where("part > 0")).select("code", F.col("plain").cast("int"), F.col("toxic").cast("int")).toArrow()
+    codes, plain, toxic = (c.to_numpy() for c in counts.columns)
+    model = fit_counts(codes.astype(np.uint64), plain.astype(float), toxic.astype(float))
     known = {r.toxic for r in keys.select("toxic").distinct().collect()}
     if len(known) < 2:
         model.weights = np.array([0.0, 0.0, 0.0, 30.0 if 1 in known else -30.0])
@@ -239,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_rows(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", features: bool = False, rows: int = 64) -> DataFrame:
-    """`columns` of docs with `score`, or with the features `x`. The model, of a fixed size, is broadcast."""
+    """`columns` of docs with `score`, or with the features `x`. The model, whose size follows from what it learned from, is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     few = docs.select(*columns, F.col(text_col).alias("_text"))
     kind, into = ("array<double>", "x") if features else ("double", "score")

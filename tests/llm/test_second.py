@@ -152,6 +152,17 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs(spark, []), frame).count() == 0
 
 
+def test_toxicity_counts_every_gram(spark):
+    """Rare expressions enter the model whatever the number of more frequent 5-grams."""
+    rng = np.random.default_rng(7)
+    common = rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8), 1_100_000).tobytes().decode()
+    rows = [(i, common + f" {i}") for i in range(10)] + [(i, f"word{i} ~~") for i in range(10, 40)]
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(40)], "doc_id long, toxic int, quality int")
+    model = toxicity.fit(docs(spark, rows), labels)
+    assert len(np.unique(toxicity.grams(toxicity.stream([common])[0]))) > 1_000_000
+    assert model.pairs[ord("~") * 256 + ord("~")] > 0.1 > 10 * model.pairs[ord("a") * 256 + ord("~")]
+
+
 def test_kneser_ney_sums_to_one():
     data, _ = toxicity.stream(["abc abd bcd abc xyz", "hello abc world"])
     codes, n = np.unique(toxicity.grams(data), return_counts=True)
