@@ -35,27 +35,43 @@ def grams(data: np.ndarray, order: int = ORDER) -> np.ndarray:
 
 
 class Table:
-    """A few numbers by code, in at least eight slots for each code. A slot has a check of its code, so another code that
-    falls there is found absent; of codes that share a slot the last put in stays."""
+    """A few numbers by code (distinct, under 2^40), in at least two slots for each code. A slot has the whole code, and
+    codes whose slot is taken go to the next free one, so none is lost and no other code is mistaken for one."""
 
     def __init__(self, codes: np.ndarray, *values: np.ndarray, absent: tuple[float, ...]):
-        self.bits, self.absent = max(1, (8 * len(codes)).bit_length()), np.array(absent, np.float32)
-        self.rows = np.zeros((1 << self.bits, 1 + len(values)), np.uint32)
-        slots, checks = self._place(codes)
-        self.rows[slots, 0] = checks
-        for i, v in enumerate(values):
-            self.rows[slots, 1 + i] = v.astype(np.float32).view(np.uint32)
-
-    def _place(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.size, self.absent = 2 * len(codes) + 1, np.array(absent, np.float32)
+        self.rows = np.zeros((self.size, 2 + len(values)), np.uint32)
+        kept = np.column_stack([*self._halves(codes), *(v.astype(np.float32).view(np.uint32) for v in values)])
+        slots, left = self._first(codes), np.arange(len(codes))
+        while len(left):
+            free = self.rows[slots, 1] == 0
+            self.rows[slots[free]] = kept[left[free]]  # of codes that want a free slot the last has it
+            out = (self.rows[slots, :2] != kept[left, :2]).any(1)
+            slots, left = (slots[out] + 1) % self.size, left[out]
+
+    def _first(self, codes: np.ndarray) -> np.ndarray:
+        """The slot where the search for each code begins."""
         h = codes * MULTIPLIER
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64), (h >> np.uint64(8)).astype(np.uint32) | np.uint32(1)
+        h = (h ^ (h >> np.uint64(32))) * MULTIPLIER
+        return ((h >> np.uint64(32)) * np.uint64(self.size) >> np.uint64(32)).astype(np.int64)
+
+    def _halves(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code in two numbers; the second is 0 only in a free slot."""
+        return codes.astype(np.uint32), (codes >> np.uint64(32)).astype(np.uint32) + np.uint32(1)
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
         """A row of numbers for each code."""
-        slots, checks = self._place(codes)
+        slots, (low, high) = self._first(codes), self._halves(codes)
         rows = self.rows[slots]
-        out = rows[:, 1:].view(np.float32)
-        out[rows[:, 0] != checks] = self.absent
+        left = np.flatnonzero((rows[:, 1] != 0) & ((rows[:, 0] != low) | (rows[:, 1] != high)))
+        slots = slots[left]
+        while len(left):
+            slots = (slots + 1) % self.size
+            rows[left] = seen = self.rows[slots]
+            on = (seen[:, 1] != 0) & ((seen[:, 0] != low[left]) | (seen[:, 1] != high[left]))
+            slots, left = slots[on], left[on]
+        out = rows[:, 2:].view(np.float32)
+        out[rows[:, 1] == 0] = self.absent
         return out
 
 
@@ -152,8 +168,7 @@ def fit_counts(codes: np.ndarray, plain: np.ndarray, toxic: np.ndarray, discount
         own.append(share)
         contexts.append(c)
         rest.append(r)
-    often = np.argsort(plain + toxic, kind="stable")  # the most frequent last, so that they keep their slots
-    five = Table(codes[often], own[0][often], own[1][often], absent=(0, 0))
+    five = Table(codes, *own, absent=(0, 0))
 
     shared = {}
     shorter, n = codes, None

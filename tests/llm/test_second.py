@@ -173,6 +173,26 @@ def test_kneser_ney_sums_to_one():
             assert math.isclose(sum(float(x[k][-1]) for x in p), 1, abs_tol=1e-3)
 
 
+def test_kneser_ney_keeps_every_gram():
+    """No gram is lost to another, whatever their number: tables have all shares, and probabilities sum to one."""
+    rng = np.random.default_rng(8)
+    data = rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8), 400_000, p=[0.03] * 25 + [0.05, 0.2])
+    codes, n = np.unique(toxicity.grams(data), return_counts=True)
+    toxic = np.arange(len(n)) % 3 * n * 1.0
+    m = toxicity.fit_counts(codes, n * 1.0, toxic)
+    for k, counts in enumerate((n * 1.0, toxic)):
+        have = counts > 0
+        share, contexts, rest = toxicity._shares(codes[have], counts[have], 0.75)
+        assert np.array_equal(m.five(codes[have])[:, k], share.astype(np.float32))
+        assert np.array_equal(m.four(contexts)[:, k], rest.astype(np.float32))
+    assert (m.five(codes + np.uint64(1 << 39)) == 0).all()
+    every = np.arange(256, dtype=np.uint8)
+    for at in range(0, 3000, 50):
+        for k in (0, 1):
+            p = [m.probabilities(np.append(data[at : at + 5], b))[k][-1] for b in every]
+            assert math.isclose(sum(map(float, p)), 1, abs_tol=1e-3)
+
+
 def test_pu_quality(spark):
     rng = random.Random(5)
     rows, labels = list(ODD), [(1, 1), (2, 0), (None, 1), (3, None)]
