@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessara.functions import camera as C
+from tessara.functions import vectors as V
 from tessara.operators import topk
 
 
@@ -19,26 +20,29 @@ def valid_keypoints(keypoints: DataFrame, low: Column, high: Column, by: list[st
     return topk.reindexed(keypoints.where(F.col("depth").between(low, high)), by or ["frame_index"], [F.col(order)], order)
 
 
+def _over(v: Column, total: Callable[[Column], Column], each: Callable[[Column, Column], Column]) -> Column:
+    """each(x, total(v)) for each term x of v. The total stands outside the loop over the terms, so it is worked out once a
+    vector, not once a term."""
+    return V.let(v, lambda v: V.let(F.struct(v.alias("v"), total(v).alias("n")), lambda s: F.transform(s.v, lambda x: each(x, s.n))))
+
+
+def _length(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
 def l1_root(v: Column) -> Column:
     """Square roots of the shares of the sum, times 512, to the nearest whole number up to 255."""
-    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return F.transform(v, lambda x: F.least(F.lit(255), F.round(512 * F.sqrt(x / total)).cast("int")))
+    return _over(v, lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")), lambda x, n: F.least(F.lit(255), F.round(512 * F.sqrt(x / n)).cast("int")))
 
 
 def l2_unit(v: Column) -> Column:
     """The unit vector, times 512, to the nearest whole number up to 255."""
-    total = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.least(F.lit(255), F.round(512 * x / total).cast("int")))
+    return _over(v, _length, lambda x, n: F.least(F.lit(255), F.round(512 * x / n).cast("int")))
 
 
 def clamped_unit(v: Column, most: float = 0.2) -> Column:
     """Unit length, terms cut at `most`, unit length again."""
-
-    def unit(w: Column) -> Column:
-        n = F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(w, lambda x: x / n)
-
-    return unit(F.transform(unit(v), lambda x: F.least(x, F.lit(most))))
+    return _over(_over(v, _length, lambda x, n: F.least(x / n, F.lit(most))), _length, lambda x, n: x / n)
 
 
 def with_grid(keypoints: DataFrame, bounds: Column, cols: int = 64, rows: int = 48) -> DataFrame:
