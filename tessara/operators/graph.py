@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessara.functions import vectors as V
 from tessara.operators import aggs, topk
@@ -116,19 +117,36 @@ def visible(nodes: DataFrame, main: Column, frame_visible: Column) -> DataFrame:
 
 
 class Forest:
-    """A spanning forest that nodes join one after the other, in numpy-free Python; one sequence of nodes is one fold.
+    """A spanning forest that nodes join one after the other; one sequence of nodes is one fold.
 
-    A new node comes with edges to nodes of one or more trees. For each tree, the m edges and the m edges that now lead
-    to their ends' parents compete: the m - 1 costliest go, one of each end's two at most. The new node joins the tree of
-    the largest root's if it touches it, else that of the largest root among those touched; other trees are turned
-    round to hang under it."""
+    A new node comes with edges to nodes of one or more trees. Each edge closes a way: over the edge itself, or over what
+    leads from its end to that end's parent. Of a tree, one edge stays with both its ways, the one whose dearer way is
+    cheapest (the last of equals); of every other edge the dearer way is cut, the edge itself if both cost the same. So
+    what is left costs least. The new node joins the tree of the largest root's if it touches it, else that of the
+    smallest root among those touched; other trees are turned round to hang under it.
+
+    Trees only ever grow together, so their names are a union-find. A new node costs the walk from its link to the ends
+    that may move, and the nodes that come to hang below it; no node costs a pass over its sequence."""
 
     def __init__(self) -> None:
         self.parent: list[int] = []
-        self.root: list[int] = []
         self.depth: list[int] = []
-        self.cost: dict[tuple[int, int], float] = {}
         self.main = 0
+        self._toll: list[float] = []
+        self._below: list[set[int] | None] = []
+        self._name: list[int] = []
+        self._size: dict[int, int] = {}
+
+    @property
+    def root(self) -> list[int]:
+        return [self.tree(i) for i in range(len(self.parent))]
+
+    def tree(self, node: int) -> int:
+        """The root of the node's tree."""
+        name = self._name
+        while name[node] != node:
+            name[node] = node = name[name[node]]
+        return node
 
     def path(self, node: int) -> list[int]:
         out = []
@@ -138,108 +156,164 @@ class Forest:
         return out
 
     def add(self, edges: Iterable[tuple[int, float]]) -> int:
-        """The place of the new node. edges: earlier nodes and costs."""
+        """The place of the new node. edges: earlier nodes and costs; of edges to one node the cheapest counts."""
         new = len(self.parent)
         self.parent.append(-1)
-        self.root.append(new)
         self.depth.append(0)
-        by_root: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        self._toll.append(0.0)
+        self._below.append(None)
+        self._name.append(new)
+        self._size[new] = 1
+        touched: dict[int, dict[int, float]] = defaultdict(dict)
         for node, cost in sorted(edges):
-            self.cost[new, node] = self.cost[node, new] = cost
-            by_root[self.root[node]].append((node, cost))
-        if by_root:
-            target = self.main if self.main in by_root else min(by_root)
-            for root in sorted(by_root):
-                self._attach(new, root, by_root[root], target)
-            self._relabel(new, target)
-        sizes: dict[int, int] = defaultdict(int)
-        for r in self.root:
-            sizes[r] += 1
-        self.main = max(sizes, key=lambda r: (sizes[r], -r))
+            touched[self.tree(node)].setdefault(node, cost)
+        if touched:
+            target = self.main if self.main in touched else min(touched)
+            for root, ends in touched.items():
+                self._join(new, root, ends, target)
+            self._size[target] += 1 + sum(self._size.pop(r) for r in touched if r != target)
+            del self._size[new]
+            for r in (new, *touched):
+                self._name[r] = target
+            self._deepen(new)
+            new_main = target
+        else:
+            new_main = new
+        if (self._size[new_main], -new_main) > (self._size.get(self.main, 0), -self.main):
+            self.main = new_main
         return new
 
-    def _attach(self, new: int, root: int, edges: list[tuple[int, float]], target: int) -> None:
-        offers = []
-        for i, (node, cost) in enumerate(edges):
-            up = self.parent[node]
-            old = (0.0 if node == target else float("inf")) if up == -1 else self.cost[up, node]
-            offers += [(-cost, i, "new"), (-old, i, "old")]
-        gone: dict[int, str] = {}
-        for _, i, which in sorted(offers, key=lambda o: o[0]):
-            if len(gone) == len(edges) - 1:
-                break
-            gone.setdefault(i, which)
-        (link,) = [i for i in range(len(edges)) if i not in gone]
-        chain = self.path(edges[link][0])
-        if root == target:
-            self.parent[new] = edges[link][0]
+    def _hang(self, node: int, under: int, toll: float) -> None:
+        up = self.parent[node]
+        if up != -1:
+            self._below[up].discard(node)
+        self.parent[node], self._toll[node] = under, toll
+        if self._below[under] is None:
+            self._below[under] = set()
+        self._below[under].add(node)
+
+    def _join(self, new: int, root: int, ends: dict[int, float], target: int) -> None:
+        def other_way(node: int) -> float:
+            if self.parent[node] != -1:
+                return self._toll[node]
+            return 0.0 if node == target else float("inf")
+
+        ways = {node: other_way(node) for node in ends}
+        link = min(reversed(ends), key=lambda node: max(ends[node], ways[node]))
+        moving = [node for node in ends if node != link and ways[node] > ends[node]]
+        if root != target:
+            chain = self.path(link)
+            tolls = [self._toll[node] for node in chain]
+            moving = set(moving).difference(chain)
+            self._hang(link, new, ends[link])
+            for lower, upper, toll in zip(chain, chain[1:], tolls):
+                self._hang(upper, lower, toll)
         else:
-            for child, parent in zip(chain[::-1], chain[-2::-1]):
-                self.parent[child] = parent
-            self.parent[edges[link][0]] = new
-        for i, which in gone.items():
-            if which == "old" and edges[i][0] not in chain:
-                self.parent[edges[i][0]] = new
-
-    def _relabel(self, new: int, target: int) -> None:
-        children: dict[int, list[int]] = defaultdict(list)
-        for node, up in enumerate(self.parent):
-            children[up].append(node)
-        todo = [new]
+            if moving:
+                moving, least, at = set(moving), min(self.depth[node] for node in moving), link
+                while at != -1 and self.depth[at] >= least:
+                    moving.discard(at)
+                    at = self.parent[at]
+            self._hang(new, link, ends[link])
+        for node in moving:
+            self._hang(node, new, ends[node])
+
+    def _deepen(self, top: int) -> None:
+        todo = [top]
         while todo:
             node = todo.pop()
-            self.root[node] = target
-            self.depth[node] = len(self.path(node)) - 1
-            todo += children[node]
+            up = self.parent[node]
+            self.depth[node] = 0 if up == -1 else self.depth[up] + 1
+            todo += self._below[node] or ()
 
     def reroot(self) -> int:
-        """Makes the node with the least sum of distances in the largest tree its root; ties to the smaller node."""
-        tree = [i for i, r in enumerate(self.root) if r == self.main]
-        near: dict[int, list[int]] = defaultdict(list)
-        for i in tree:
-            if self.parent[i] != -1:
-                near[i].append(self.parent[i])
-                near[self.parent[i]].append(i)
-
-        def total(start: int) -> int:
-            far, todo = {start: 0}, [start]
-            for node in todo:
-                for other in near[node]:
-                    if other not in far:
-                        far[other] = far[node] + 1
-                        todo.append(other)
-            return sum(far.values())
-
-        best = min(tree, key=lambda i: (total(i), i))
+        """Makes the node with the least sum of distances in the largest tree its root; ties to the smaller node.
+
+        One pass up adds sizes and distances from the root; one pass down follows how the sum changes from parent to
+        child: a child is nearer by one to its own subtree and farther by one from all others."""
+        start = self.main
+        order = [start]
+        for node in order:
+            order += sorted(self._below[node] or ())
+        size = dict.fromkeys(order, 1)
+        for node in reversed(order[1:]):
+            size[self.parent[node]] += size[node]
+        far = {start: sum(self.depth[node] for node in order)}
+        for node in order[1:]:
+            far[node] = far[self.parent[node]] + len(order) - 2 * size[node]
+        best = min(order, key=lambda i: (far[i], i))
         chain = self.path(best)
-        for child, parent in zip(chain, chain[1:]):
-            self.parent[parent] = child
+        tolls = [self._toll[node] for node in chain]
+        if len(chain) > 1:
+            self._below[chain[1]].discard(best)
         self.parent[best] = -1
-        for i in tree:
-            self.root[i], self.depth[i] = best, len(self.path(i)) - 1
+        for lower, upper, toll in zip(chain, chain[1:], tolls):
+            self._hang(upper, lower, toll)
+        self._name[best] = self._name[start] = best
+        self._size[best] = self._size.pop(start)
+        self._deepen(best)
         self.main = best
         return best
 
 
 def spanning_forest(edges: DataFrame, sequence: list[str], nodes: DataFrame, reroot: bool = False) -> DataFrame:
     """sequence..., node_index, parent (null at roots), root, path_len, main. nodes: sequence..., node_index (0 ..);
-    edges: sequence..., src, dst (earlier), cost. Order matters, so a sequence is one fold; sequences are parallel."""
-    listed = edges.groupBy(*sequence, F.col("src").alias("node_index")).agg(F.array_sort(F.collect_list(F.struct("dst", "cost"))).alias("es"))
-    rows = nodes.join(listed, [*sequence, "node_index"], "left")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        forest = Forest()
-        for es in pdf.sort_values("node_index").es:
-            forest.add([] if es is None else [(e["dst"], e["cost"]) for e in es])
-        if reroot and forest.parent:
-            forest.reroot()
-        out = [(*key, i, None if p == -1 else p, r, d, r == forest.main) for i, (p, r, d) in enumerate(zip(forest.parent, forest.root, forest.depth))]
-        frame = pd.DataFrame(out, columns=[*sequence, "node_index", "parent", "root", "path_len", "main"])
-        frame["parent"] = frame["parent"].astype("Int64")
-        return frame
+    edges: sequence..., src, dst (earlier), cost.
+
+    Order matters, so a sequence is one fold; sequences are parallel. Nodes and edges move once, by sequence, and each
+    task walks its sorted rows and holds the forest of one sequence at a time, however many sequences it has."""
+    at = nodes.select(*sequence, F.col("node_index").cast("long").alias("__at"), F.lit(None).cast("long").alias("__to"), F.lit(None).cast("double").alias("__cost"))
+    es = edges.select(*sequence, F.col("src").cast("long").alias("__at"), F.col("dst").cast("long").alias("__to"), F.col("cost").cast("double").alias("__cost"))
+    order = [F.col(c) for c in (*sequence, "__at")] + [F.asc_nulls_first("__to"), F.col("__cost")]
+    rows = at.unionByName(es).repartition(*sequence).sortWithinPartitions(*order)
+
+    def table(done: list[tuple[list, Forest]]) -> pa.RecordBatch:
+        cols: dict[str, list] = {c: [] for c in (*sequence, "node_index", "parent", "root", "path_len", "main")}
+        for key, forest in done:
+            n, roots = len(forest.parent), forest.root
+            for c, v in zip(sequence, key):
+                cols[c] += [v] * n
+            cols["node_index"] += range(n)
+            cols["parent"] += [None if p == -1 else p for p in forest.parent]
+            cols["root"] += roots
+            cols["path_len"] += forest.depth
+            cols["main"] += [r == forest.main for r in roots]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), types)], list(cols))
 
     own = "".join(f"`{c}` {nodes.schema[c].dataType.simpleString()}, " for c in sequence)
-    return rows.groupBy(*sequence).applyInPandas(run, f"{own}node_index long, parent long, root long, path_len int, main boolean")
+    schema = f"{own}node_index long, parent long, root long, path_len int, main boolean"
+    types = [to_arrow_type(nodes.schema[c].dataType) for c in sequence] + [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, values, forest, here, ends = None, None, Forest(), None, []
+
+        def finish() -> Forest:
+            if here is not None:
+                forest.add(ends)
+            if reroot and forest.parent:
+                forest.reroot()
+            return forest
+
+        for batch in batches:
+            done, columns = [], [c.to_pylist() for c in batch.columns]
+            for *k, node, to, cost in zip(*columns):
+                named = tuple("NaN" if x != x else x for x in k)
+                if named != key:
+                    if key is not None:
+                        done.append((values, finish()))
+                    key, values, forest, here, ends = named, k, Forest(), None, []
+                if to is None:
+                    if here is not None:
+                        forest.add(ends)
+                    here, ends = node, []
+                elif node == here:
+                    ends.append((to, cost))
+            if done:
+                yield table(done)
+        if key is not None:
+            yield table([(values, finish())])
+
+    return rows.mapInArrow(run, schema)
 
 
 def minimum_forest(edges: DataFrame) -> DataFrame:
