@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessara.functions import vectors as V
 from tessara.operators import topk
-from tessara.operators.sizes import stored
+from tessara.operators.sizes import small, stored
 
 
 def nearest(left: DataFrame, right: DataFrame, by: list[str] | None = None, ratio: float = 0.8, max_angle: float | None = 0.7, mutual: bool = True, scale: float = 1.0, extra: Callable[[], Column] | None = None) -> DataFrame:
@@ -142,7 +142,29 @@ def orientation_consistent(matches: DataFrame, by: list[str], delta: Column, deg
 def shared_words(queries: DataFrame, refs: DataFrame, query: str = "query", ref: str = "ref", word: str = "word") -> DataFrame:
     """query, ref, n: how many different words two rows share, over pairs that share any. Postings: id, word."""
     q, r = queries.select(query, word).distinct(), refs.select(ref, word).distinct()
-    return q.join(r, word).groupBy(query, ref).agg(F.count(F.lit(1)).alias("n"))
+    return small(q, 500_000).join(r, word).groupBy(query, ref).agg(F.count(F.lit(1)).alias("n"))
+
+
+def bag_matches(queries: DataFrame, refs: DataFrame, query: str = "query", ref: str = "ref") -> DataFrame:
+    """query, ref, n, score: shared words and the cosine of the word weights, over pairs of different ids that share any,
+    from one join. Postings: id, word, weight, one row for each word of an id.
+
+    Postings of queries of a checked size are broadcast; then, if refs come in parts by ref (see postings_of()), a part
+    holds all of a reference and no posting and no pair moves. Larger ones are joined by word, whose hot words Spark's
+    adaptive join splits. The result is a written table, since what follows reads it more than once."""
+    wq, wr = queries.select(query, "word", F.col("weight").alias("wq")), refs.select(ref, "word", F.col("weight").alias("wr"))
+    nq = queries.groupBy(query).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("nq"))
+    nr = refs.groupBy(ref).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("nr"))
+    dots = wr.join(small(wq, 500_000), "word").where(F.col(query) != F.col(ref)).groupBy(ref, query).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("wq") * F.col("wr")).alias("dot"))
+    scored = dots.join(nr.hint("shuffle_hash"), ref).join(small(nq, 500_000), query)
+    return stored(scored.select(query, ref, "n", (F.col("dot") / (F.col("nq") * F.col("nr"))).alias("score")))
+
+
+def postings_of(rows: DataFrame, key: str, into: str, text: str = "text") -> DataFrame:
+    """Postings (into, word, weight: how often) of texts whose words are apart by blanks. Texts are dealt by key once;
+    what is grouped by key after that stays where it is."""
+    words = rows.select(F.col(key).alias(into), text).repartition(into).select(into, F.explode(F.split(text, " ")).alias("word"))
+    return words.where("word != ''").groupBy(into, "word").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def cosine_scores(candidates: DataFrame, queries: DataFrame, refs: DataFrame, query: str = "query", ref: str = "ref") -> DataFrame:
@@ -158,9 +180,8 @@ def cosine_scores(candidates: DataFrame, queries: DataFrame, refs: DataFrame, qu
 def retrieve(queries: DataFrame, refs: DataFrame, k: int = 10, factor: float = 0.6) -> DataFrame:
     """The k best references of each query among those that share at least int(factor * most) words. Postings as for
     cosine_scores()."""
-    counts = shared_words(queries, refs).where(F.col("query") != F.col("ref"))
-    near = topk.max_relative(counts, ["query"], "n", factor)
-    return topk.top_k(cosine_scores(near, queries, refs), ["query"], [F.desc("score"), F.col("ref")], k)
+    near = topk.max_relative(bag_matches(queries, refs), ["query"], "n", factor)
+    return topk.top_k(near, ["query"], [F.desc("score"), F.col("ref")], k)
 
 
 def overlapping(queries: DataFrame, refs: DataFrame, covisible: DataFrame, min_score: float, factor: float = 0.8, keep: float = 0.75) -> DataFrame:
@@ -169,9 +190,8 @@ def overlapping(queries: DataFrame, refs: DataFrame, covisible: DataFrame, min_s
     Those that share over int(0.8 * most) words and score at least min_score gather the scores of their covisible
     ones (ref, co) that share as many; each is replaced by the best of these, and stays if its sum is over 0.75 of the
     best sum. Returns query, ref, score."""
-    counts = shared_words(queries, refs).where(F.col("query") != F.col("ref"))
-    near = topk.max_relative(counts, ["query"], "n", factor, strict=True)
-    scored = cosine_scores(near, queries, refs).select("query", "ref", "score")
+    near = topk.max_relative(bag_matches(queries, refs), ["query"], "n", factor, strict=True)
+    scored = near.select("query", "ref", "score")
     hits = scored.where(F.col("score") >= min_score)
     helpers = scored.select("query", F.col("ref").alias("co"), F.col("score").alias("co_score"))
     joined = hits.join(covisible, "ref").join(helpers, ["query", "co"])

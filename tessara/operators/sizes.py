@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has no more than `rows` rows; else Spark shuffles both sides of the join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int, megabytes: int = 32) -> DataFrame:
+    """df with a broadcast hint if it has no more than `rows` rows and these, written out, take no more than `megabytes`;
+    else Spark shuffles both sides of the join."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).cast("long")
+    n, taken = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and taken <= megabytes << 20 else df
 
 
 def shared_dir(spark: SparkSession) -> str:

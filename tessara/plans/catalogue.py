@@ -132,11 +132,13 @@ def orientation_consistent(spark, sf_dir):
 
 
 def postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    def bag(name: str, key: str, into: str) -> DataFrame:
-        w = table(spark, sf_dir, name).select(F.col(key).alias(into), F.explode(F.split("text", " ")).alias("word")).where("word != ''")
-        return stored(w.groupBy(into, "word").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    return joins.postings_of(table(spark, sf_dir, "benchmark"), "item_id", "query"), joins.postings_of(table(spark, sf_dir, "documents"), "doc_id", "ref")
 
-    return bag("benchmark", "item_id", "query"), bag("documents", "doc_id", "ref")
+
+def scored_pairs(spark: SparkSession, sf_dir: str, factor: float | None = None) -> DataFrame:
+    """Pairs with the scores that queries compare, those that share at least int(factor * the query's most) words."""
+    found = joins.bag_matches(*postings(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    return found if factor is None else topk.max_relative(found, ["query"], "n", factor)
 
 
 BAGS = """
@@ -164,10 +166,7 @@ def bow_candidates_60(spark, sf_dir):
 
 @query(BAGS.format("0.6::DOUBLE") + ", k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, ref) AS rank FROM s) SELECT query, ref, n, round(round(score, 9), 6) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10")
 def bow_topk(spark, sf_dir):
-    q, r = postings(spark, sf_dir)
-    near = topk.max_relative(joins.shared_words(q, r).where("query != ref"), ["query"], "n", 0.6)
-    scored = joins.cosine_scores(near, q, r).withColumn("score", F.round("score", 9))
-    return rounded(topk.top_k(scored, ["query"], [F.desc("score"), F.col("ref")], 10))
+    return rounded(topk.top_k(scored_pairs(spark, sf_dir, 0.6), ["query"], [F.desc("score"), F.col("ref")], 10))
 
 
 COVISIBLE = """, v AS (SELECT doc_id AS ref, unnest([lag(doc_id) OVER w, lead(doc_id) OVER w]) AS co FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
@@ -196,20 +195,14 @@ m AS (SELECT *, max(n) OVER (PARTITION BY source) AS top FROM p),
 k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, ref, cur) AS i FROM m WHERE n >= floor(0.6::DOUBLE * top))
 SELECT source, ref, cur, n, round(score, 6) AS score FROM k WHERE i = 1""")
 def best_pair(spark, sf_dir):
-    q, r = postings(spark, sf_dir)
-    counts = joins.shared_words(q, r).where("query != ref")
-    scored = joins.cosine_scores(counts, q, r).withColumn("score", F.round("score", 9))
-    by = scored.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), "source"), "ref").withColumnRenamed("query", "cur")
+    by = scored_pairs(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), "source"), "ref").withColumnRenamed("query", "cur")
     return rounded(joins.best_pair(by, ["source"]))
 
 
 @query(BAGS.format("0.6::DOUBLE") + """, p AS (SELECT query, source AS node, ref, query AS cur, score FROM s JOIN documents ON doc_id = ref)
 SELECT query, node, count(DISTINCT cur) AS n, round(max(round(score, 9)), 6) AS score, arg_max(ref, (round(score, 9), -cur, -ref)) AS ref, arg_max(cur, (round(score, 9), -cur, -ref)) AS cur FROM p GROUP BY 1, 2""")
 def votes(spark, sf_dir):
-    q, r = postings(spark, sf_dir)
-    near = topk.max_relative(joins.shared_words(q, r).where("query != ref"), ["query"], "n", 0.6)
-    scored = joins.cosine_scores(near, q, r).withColumn("score", F.round("score", 9))
-    c = scored.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), F.col("source").alias("node")), "ref").withColumn("cur", F.col("query"))
+    c = scored_pairs(spark, sf_dir, 0.6).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), F.col("source").alias("node")), "ref").withColumn("cur", F.col("query"))
     return rounded(aggs.votes(c, ["query"]))
 
 
@@ -218,9 +211,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query, lost ORDER BY score DESC,
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY (lost AND own <= 1) DESC, score DESC, ref) AS rank FROM o)
 SELECT query, ref, lost, round(score, 6) AS score, lost AND own <= 1 AS reserved, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10""")
 def reserved_top_k(spark, sf_dir):
-    q, r = postings(spark, sf_dir)
-    near = topk.max_relative(joins.shared_words(q, r).where("query != ref"), ["query"], "n", 0.6)
-    scored = joins.cosine_scores(near, q, r).select("query", "ref", F.round("score", 9).alias("score"), (F.col("ref") % 3 == 0).alias("lost"))
+    scored = scored_pairs(spark, sf_dir, 0.6).select("query", "ref", "score", (F.col("ref") % 3 == 0).alias("lost"))
     return rounded(topk.reserved_top_k(scored, ["query"], 10, located=True, has_lost=True))
 
 
