@@ -43,6 +43,13 @@ def upper_medians(df: DataFrame, by: list[str], value: str, low: float, high: fl
     return found.select(*by, inside.alias(into))
 
 
+def medians(df: DataFrame, by: list[str], value: str, into: str = "median") -> DataFrame:
+    """The median of each group, the mean of the two middle values of an even number. Nulls aren't counted."""
+    n = F.col("n")
+    middles = at_ranks(df, by, value, {"__m0": F.floor((n - 1) / 2), "__m1": F.floor(n / 2)})
+    return middles.select(*by, ((F.col("__m0") + F.col("__m1")) / 2).alias(into))
+
+
 def grid_argmin(df: DataFrame, by: list[str], x: str, y: str, cost: Column, size_x: float, size_y: float | None = None, tie: str = "id") -> DataFrame:
     """The row of the least cost of each cell of a grid, ties to the smaller `tie`; a partial aggregate."""
     cells = df.withColumns({"gx": F.floor(F.col(x) / size_x), "gy": F.floor(F.col(y) / (size_y or size_x)), "__cost": cost})
@@ -154,10 +161,14 @@ def min_acceptable_score(neighbours: DataFrame, previous: DataFrame, frame: str
 def ate_metrics(errors: DataFrame, by: list[str], error: str = "error", stamp: str = "stamp") -> DataFrame:
     """Trajectory error: pairs, rmse, mean, median, population standard deviation, least and largest with their stamps."""
     e = F.col(error)
-    return (errors.groupBy(*by) if by else errors).agg(
-        F.count(F.lit(1)).alias("pairs"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mean"), F.median(e).alias("median"), F.stddev_pop(e).alias("std"),
+    by, alone = (by, errors) if by else (["__all"], errors.withColumn("__all", F.lit(0)))
+    picked = medians(alone, by, error)
+    found = alone.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("pairs"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"),
         F.min(e).alias("min"), F.min_by(stamp, F.struct(e, F.col(stamp))).alias("min_stamp"), F.max(e).alias("max"), F.max_by(stamp, F.struct(e, -F.col(stamp))).alias("max_stamp"),
     )
+    names = [c for c in by if c != "__all"] + ["pairs", "rmse", "mean", "median", "std", "min", "min_stamp", "max", "max_stamp"]
+    return found.join(picked, by, "left").select(*names)
 
 
 def cross_moments(pairs: DataFrame, by: list[str], model: tuple[str, str, str], data: tuple[str, str, str]) -> DataFrame:
@@ -191,10 +202,10 @@ def registration_counts(df: DataFrame, ok: Column) -> DataFrame:
 def robust_stats(df: DataFrame, by: list[str], value: str, percentiles: tuple[float, ...] = (5, 95)) -> DataFrame:
     """mean, median (mean of the middles), sample variance and deviation, and nearest-rank percentiles."""
     n = F.col("n")
-    ranks = {"__lo": F.floor((n - 1) / 2), "__hi": F.floor(n / 2)} | {f"p{p:g}": F.round(F.lit(p / 100) * (n - 1)) for p in percentiles}
+    ranks = {"__m0": F.floor((n - 1) / 2), "__m1": F.floor(n / 2)} | {f"p{p:g}": F.round(F.lit(p / 100) * (n - 1)) for p in percentiles}
     picked = at_ranks(df, by, value, ranks)
     moments = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.var_samp(value).alias("variance"), F.stddev_samp(value).alias("std_dev"))
-    return moments.join(picked, by).select(*by, "mean", ((F.col("__lo") + F.col("__hi")) / 2).alias("median"), "variance", "std_dev", *[f"p{p:g}" for p in percentiles])
+    return moments.join(picked, by).select(*by, "mean", ((F.col("__m0") + F.col("__m1")) / 2).alias("median"), "variance", "std_dev", *[f"p{p:g}" for p in percentiles])
 
 
 def se3_moments(poses: DataFrame, by: list[str], weight: Column | None = None, pose: str = "pose") -> DataFrame:

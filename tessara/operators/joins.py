@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType
 
 from tessara.functions import vectors as V
 from tessara.operators import topk
@@ -253,22 +258,130 @@ def time_candidates(a: DataFrame, b: DataFrame, tolerance: float, offset: float
     return left.join(right, "__k").withColumn("delta", delta).where(F.col("delta") < tolerance).drop("__k")
 
 
-def time_associate(a: DataFrame, b: DataFrame, tolerance: float = 0.02, offset: float = 0.0, a_col: str = "a", b_col: str = "b") -> DataFrame:
-    """One-to-one pairs as greedily taken by (delta, a, b).
-
-    In each round a pair is taken that is the least of all that hold its a and of all that hold its b, which is what a
-    sorted pass would take; rows of its a and b go. A round is a written table; their number is that of the longest
-    chain of pairs that wait for each other."""
-    rest = stored(time_candidates(a.select(a_col).distinct(), b.select(b_col).distinct(), tolerance, offset, a_col, b_col))
-    taken: DataFrame | None = None
-    while not rest.isEmpty():
-        key = F.struct("delta", a_col, b_col)
-        by_a = rest.groupBy(a_col).agg(F.min(key).alias("k")).select("k.*")
-        by_b = rest.groupBy(b_col).agg(F.min(key).alias("k")).select("k.*")
-        now = stored(by_a.join(by_b, [a_col, b_col, "delta"]))
-        taken = now if taken is None else taken.unionByName(now)
-        rest = stored(rest.join(now.select(a_col), a_col, "left_anti").join(now.select(b_col), b_col, "left_anti"))
-    return (taken if taken is not None else rest).select(a_col, b_col, "delta")
+def time_associate(a: DataFrame, b: DataFrame, tolerance: float = 0.02, offset: float = 0.0, a_col: str = "a", b_col: str = "b", chunk: int = 200_000) -> DataFrame:
+    """One-to-one pairs as greedily taken by (delta, a, b), of all with |a - (b + offset)| < tolerance. Null and NaN stamps
+    pair with nothing.
+
+    The nearest two stamps of different kinds are always neighbours in time among those left, so no candidates are made:
+    stamps are dealt in stretches of about `chunk` and each is walked once, see Stretch. What a stretch can't settle
+    without its neighbours, near its ends, is dealt again with other cuts, until nothing is left. A round is a written
+    table of the pairs and the stamps left; a stretch that nothing reaches from outside is settled in the first."""
+    own = {"a": a.schema[a_col].dataType, "b": b.schema[b_col].dataType}
+    kind = "long" if not offset and all(isinstance(t, IntegralType) for t in own.values()) else "double"
+    at_b = F.col(b_col) + offset if offset else F.col(b_col)
+    points = a.select(F.col(a_col).cast(kind).alias("at"), F.lit(True).alias("is_a"), F.col(a_col).alias("a"), F.lit(None).cast(own["b"]).alias("b"))
+    points = points.unionByName(b.select(at_b.cast(kind).alias("at"), F.lit(False).alias("is_a"), F.lit(None).cast(own["a"]).alias("a"), F.col(b_col).alias("b")))
+    rest = points.where("at IS NOT NULL AND NOT isnan(CAST(at AS DOUBLE))").distinct()
+    schema = f"at {kind}, is_a boolean, a {own['a'].simpleString()}, b {own['b'].simpleString()}, delta double, settled boolean"
+    types = [pa.int64() if kind == "long" else pa.float64(), pa.bool_(), to_arrow_type(own["a"]), to_arrow_type(own["b"]), pa.float64(), pa.bool_()]
+
+    def walked(open_ends: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [batch for batch in batches if batch.num_rows]
+            if not parts:
+                return
+            t = pa.Table.from_batches(parts)
+            t = t.take(pc.sort_indices(t, sort_keys=[("at", "ascending"), ("is_a", "descending"), ("b", "ascending")]))
+            at, is_a = t["at"].to_pylist(), t["is_a"].to_pylist()
+            pairs, left = Stretch(at, is_a, t["a"].to_pylist(), t["b"].to_pylist(), tolerance, open_ends).walk()
+            lead, then = np.array([p[0] for p in pairs] + left, int), np.array([p[1] for p in pairs] + left, int)
+            deltas = [float(abs(at[x] - at[y])) for x, y in pairs] + [None] * len(left)
+            rows, settled = t.take(lead), np.arange(len(lead)) < len(pairs)
+            columns = [rows["at"], rows["is_a"], rows["a"], t["b"].take(then), pa.array(deltas, pa.float64()), pa.array(settled)]
+            yield from pa.Table.from_arrays([c.cast(k) for c, k in zip(columns, types)], names=["at", "is_a", "a", "b", "delta", "settled"]).to_batches()
+
+        return run
+
+    taken: list[DataFrame] = []
+    n, turn, before = rest.count(), 0, None
+    while n:
+        parts = -(-n // chunk)
+        if parts == 1:
+            dealt, open_ends = rest.coalesce(1), False
+        else:
+            # Two rounds have different cuts, as the second has one stretch more; one that settles nothing widens them.
+            dealt, open_ends = rest.repartitionByRange(parts + turn % 2, "at"), True
+        done = stored(dealt.mapInArrow(walked(open_ends), schema))
+        taken.append(done.where("settled").select(F.col("a").alias(a_col), F.col("b").alias(b_col), "delta"))
+        rest = done.where("NOT settled").select("at", "is_a", "a", "b")
+        n, before, turn = rest.count(), n, turn + 1
+        if n == before:
+            chunk *= 2
+    out = taken[0] if taken else points.where("false").select(F.col("a").alias(a_col), F.col("b").alias(b_col), F.lit(None).cast("double").alias("delta"))
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+class Stretch:
+    """Stamps of two kinds in order of time, paired greedily by (delta, a, b).
+
+    With open ends, stamps outside lie before the first or after the last and aren't known. Then a stamp next to an end is
+    lost, for this stretch, at the moment when the walk comes to its distance from what may take it: the end itself, or the
+    nearest stamp of the other kind that was lost before it. Pairs that come earlier hold whatever lies outside."""
+
+    def __init__(self, at: list, is_a: list[bool], a: list, b: list, tolerance: float, open_ends: bool):
+        n = len(at)
+        self.at, self.is_a, self.a, self.b, self.tolerance = at, is_a, a, b, tolerance
+        self.after, self.before = [*range(1, n), -1], [-1, *range(n - 1)]
+        self.gone = [False] * n
+        self.heap: list[tuple] = []
+        self.ends = {1: [0, {False: at[0], True: at[0]}], -1: [n - 1, {False: at[-1], True: at[-1]}]} if open_ends and n else {}
+
+    def _meet(self, i: int, j: int) -> None:
+        if i >= 0 and j >= 0 and self.is_a[i] != self.is_a[j]:
+            delta = abs(self.at[i] - self.at[j])
+            if delta < self.tolerance:
+                x, y = (i, j) if self.is_a[i] else (j, i)
+                heappush(self.heap, (delta, 1, self.a[x], self.b[y], x, y))
+
+    def _threaten(self, side: int) -> None:
+        """The moment at which the first stamp from an end is lost."""
+        first, near = self.ends[side]
+        if first >= 0:
+            delta = abs(self.at[first] - near[not self.is_a[first]])
+            if delta < self.tolerance:
+                heappush(self.heap, (delta, 0, side, first))
+
+    def _drop(self, i: int) -> None:
+        self.gone[i] = True
+        p, q = self.before[i], self.after[i]
+        if p >= 0:
+            self.after[p] = q
+        if q >= 0:
+            self.before[q] = p
+        for side, end in self.ends.items():
+            if end[0] == i:
+                end[0] = q if side == 1 else p
+                self._threaten(side)
+
+    def walk(self) -> tuple[list[tuple[int, int]], list[int]]:
+        """Places of the pairs (a, b), and of the stamps that were lost."""
+        pairs, lost = [], []
+        for i in range(len(self.at) - 1):
+            self._meet(i, i + 1)
+        for side in self.ends:
+            self._threaten(side)
+        while self.heap:
+            event = heappop(self.heap)
+            if event[1]:
+                x, y = event[4:]
+                if self.gone[x] or self.gone[y]:
+                    continue
+                pairs.append((x, y))
+                low, high = min(x, y), max(x, y)
+                p, q = self.before[low], self.after[high]
+                self._drop(x)
+                self._drop(y)
+                self._meet(p, q)
+            else:
+                side, i = event[2:]
+                if self.gone[i] or self.ends[side][0] != i:
+                    continue
+                lost.append(i)
+                self.ends[side][1][self.is_a[i]] = self.at[i]
+                self._drop(i)
+        return pairs, lost
 
 
 def schedule(df: DataFrame, by: list[str], id_col: str, full: bool = False) -> DataFrame:

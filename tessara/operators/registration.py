@@ -9,6 +9,7 @@ from tessara.config import EngineConfig
 from tessara.functions import vectors as V
 from tessara.operators import aggs, estimate, graph, joins
 from tessara.operators import solvers as S
+from tessara.operators.sizes import stored
 
 Intrinsics = tuple[float, float, float, float]
 
@@ -78,7 +79,7 @@ def evaluate_trajectory(truth: DataFrame, found: DataFrame, tolerance: float = 0
     pairs = joins.time_associate(a, b, tolerance, offset)
     one = truth.select(F.col("stamp").alias("a"), *[F.col(f"t{c}").alias(f"g{c}") for c in "xyz"])
     two = found.select(F.col("stamp").alias("b"), *[(F.col(f"t{c}") * scale).alias(f"e{c}") for c in "xyz"])
-    both = pairs.join(one, "a").join(two, "b")
+    both = stored(pairs.join(one, "a").join(two, "b"))
     if both.limit(2).count() < 2:
         raise ValueError("fewer than two stamps match within the tolerance")
     errors = estimate.aligned_errors(both, [], ("ex", "ey", "ez"), ("gx", "gy", "gz"))

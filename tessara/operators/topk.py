@@ -70,11 +70,13 @@ def count_chunks(df: DataFrame, by: list[str], order: list[Column], size: int, i
 def gap_segments(df: DataFrame, by: list[str], stamp: str, factor: float = 2.0, into: str = "segment") -> DataFrame:
     """Numbers of stretches in order of the stamp; a new one starts where the step is at least factor times the median
     step of the group."""
+    from tessara.operators import aggs
+
     along = Window.partitionBy(*by).orderBy(stamp)
     steps = df.withColumn("__step", F.col(stamp) - F.lag(stamp).over(along))
-    usual = steps.groupBy(*by).agg(F.median("__step").alias("__usual"))
+    usual = aggs.medians(steps, by, "__step", "__usual")
     cut = F.when(F.col("__step") >= factor * F.col("__usual"), 1).otherwise(0)
-    joined = steps.join(usual, by).withColumn("__cut", cut)
+    joined = steps.join(usual, by, "left").withColumn("__cut", cut)
     return joined.withColumn(into, F.sum("__cut").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("__step", "__usual", "__cut")
 
 

@@ -246,7 +246,13 @@ def time_candidates(spark, sf_dir):
     return joins.time_candidates(a, b, 600e6).withColumn("delta", F.col("delta").cast("double"))
 
 
-@query()
+@query(STAMPS.replace("WITH a", "WITH RECURSIVE a") + """,
+r(a, b, delta, taken) AS (
+  SELECT a, b, delta, row_number() OVER (PARTITION BY a ORDER BY delta, b) = 1 AND row_number() OVER (PARTITION BY b ORDER BY delta, a) = 1 FROM c
+  UNION ALL
+  SELECT a, b, delta, row_number() OVER (PARTITION BY a ORDER BY delta, b) = 1 AND row_number() OVER (PARTITION BY b ORDER BY delta, a) = 1
+  FROM (SELECT *, bool_or(taken) OVER (PARTITION BY a) AS has_a, bool_or(taken) OVER (PARTITION BY b) AS has_b FROM r) WHERE NOT has_a AND NOT has_b)
+SELECT a, b, delta FROM r WHERE taken""")
 def time_associate(spark, sf_dir):
     return joins.time_associate(stamps(spark, sf_dir, "click", "a"), stamps(spark, sf_dir, "purchase", "b"), 600e6)
 

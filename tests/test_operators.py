@@ -46,6 +46,43 @@ def test_time_associate(spark):
     assert joins.time_associate(one, two.limit(0), 2.0).count() == 0
 
 
+def test_time_associate_in_stretches(spark):
+    """Cuts in time change nothing, nor do clocks that drift apart, of which each pair waits for the next."""
+    from tessara.operators.joins import Stretch
+
+    for seed in range(300):
+        rng = random.Random(seed)
+        a, b = (sorted(rng.sample(range(200), rng.randint(0, 30))) for _ in "ab")
+        tolerance = rng.choice([2, 9, 500])
+        rest = sorted([(x, True) for x in a] + [(x, False) for x in b], key=lambda p: (p[0], not p[1]))
+        found, size, turn = [], rng.randint(3, 9), 0
+        while rest:
+            alone = len(rest) <= size
+            cuts = [0, *range(size - turn % 2 * (size // 2), len(rest), size), len(rest)] if not alone else [0, len(rest)]
+            left = []
+            for i, j in zip(cuts, cuts[1:]):
+                at = [x for x, _ in rest[i:j]]
+                pairs, lost = Stretch(at, [k for _, k in rest[i:j]], at, at, tolerance, not alone).walk()
+                found += [(at[x], at[y]) for x, y in pairs]
+                left += [rest[i + x] for x in lost]
+            size *= 2 if len(left) == len(rest) else 1
+            rest, turn = left, turn + 1
+        assert sorted(found) == greedy(a, b, tolerance)
+    a, b = [10.0 * i for i in range(60)], [10.0 * i + 4 - i / 20 for i in range(60)]
+    one, two = spark.createDataFrame([(x,) for x in a], "a double"), spark.createDataFrame([(x,) for x in b], "b double")
+    assert [x[:2] for x in rows(joins.time_associate(one, two, 20.0, chunk=40))] == greedy(a, b, 20.0)
+
+
+def test_forest_of_many_sequences(spark):
+    """Sequences of any key, null and NaN too, are folds of their own, and roots are where trees begin."""
+    keys = [None, float("nan"), 1.0, 2.0]
+    nodes = spark.createDataFrame([(k, i) for k in keys for i in range(5)], "seq double, node_index long")
+    edges = spark.createDataFrame([(k, i, i - 1, 1.0) for k in keys for i in (1, 2, 4)] + [(2.0, 9, 1, 1.0)], "seq double, src long, dst long, cost double")
+    got = graph.spanning_forest(edges, ["seq"], nodes).collect()
+    assert len(got) == 20
+    assert {(r.node_index, r.parent, r.root, r.path_len, r.main) for r in got} == {(0, None, 0, 0, True), (1, 0, 0, 1, True), (2, 1, 0, 2, True), (3, None, 3, 0, False), (4, 3, 3, 1, False)}
+
+
 def test_range_join(spark):
     rng = random.Random(2)
     p = [(i, rng.uniform(-9, 9), rng.uniform(-9, 9)) for i in range(80)]
