@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessara.operators.sizes import small
+
 
 def best_two(df: DataFrame, by: list[str], order: list[Column], score: str, into: str = "second") -> DataFrame:
     """The best row of each group with the score of the second (null if it is alone). The two come from a bounded
@@ -25,9 +27,9 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
 
 def max_relative(df: DataFrame, by: list[str], value: str, factor: float, strict: bool = False) -> DataFrame:
     """Rows whose value is at least (strict: above) int(factor * the group's largest). The largest is aggregated and joined
-    back, so a hot group isn't gathered."""
+    back, so a hot group isn't gathered; where groups are few, by a broadcast, so that rows stay where they are."""
     least = df.groupBy(*by).agg(F.floor(F.max(value) * F.lit(factor)).alias("__least"))
-    kept = df.join(least, by)
+    kept = df.join(small(least, 200_000), by)
     return kept.where(F.col(value) > F.col("__least") if strict else F.col(value) >= F.col("__least")).drop("__least")
 
 

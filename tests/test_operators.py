@@ -66,7 +66,7 @@ def test_time_associate_in_stretches(spark):
                 found += [(at[x], at[y]) for x, y in pairs]
                 left += [rest[i + x] for x in lost]
             size *= 2 if len(left) == len(rest) else 1
-            rest, turn = left, turn + 1
+            rest, turn = sorted(left, key=lambda p: (p[0], not p[1])), turn + 1
         assert sorted(found) == greedy({*a}, {*b}, tolerance)
     a, b = [10.0 * i for i in range(60)], [10.0 * i + 4 - i / 20 for i in range(60)]
     one, two = spark.createDataFrame([(x,) for x in a], "a double"), spark.createDataFrame([(x,) for x in b], "b double")
