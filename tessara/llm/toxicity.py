@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +86,7 @@ class Model:
     three: Table
     left: np.ndarray
     pairs: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, 0.0, 0.0]))
+    cut: float = 1.0
 
     def probabilities(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(byte | ordinary) and P(byte | toxic) at each place from ORDER on; data has a byte more before."""
@@ -104,47 +103,54 @@ class Model:
         plain, toxic = self.probabilities(np.concatenate([np.full(1, 32, np.uint8), data]))
         return np.log(toxic / plain)
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """Of each text: log-likelihood ratio by length, that of its likeliest word, and by length what its words have
-        above a word's worth of 4. All are zero for a text without words."""
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text, by length: the mean over its words of the square of what a word's log-likelihood ratio has above
+        MARGIN. 0 for a text without words.
+
+        A text's plain mean ratio tells above all which language it is in, as classes differ in their mix of languages,
+        and each of its words adds a little; the margin leaves that out, and the square lets few plain words outweigh
+        many doubtful ones."""
         data, ends = stream(texts)
-        out = np.zeros((len(texts), 3))
+        out = np.zeros(len(texts))
         if len(data) < ORDER:
             return out
-        r = self.ratios(data)
         begins = np.flatnonzero(data[ORDER - 1 :] == 32)
-        words = np.add.reduceat(r, begins)
+        words = np.maximum(np.add.reduceat(self.ratios(data), begins) - MARGIN, 0) ** 2
+        sums = np.concatenate([[0.0], np.cumsum(words)])
         first = np.searchsorted(begins, ends - (ORDER - 1))
-        for i in range(len(texts)):
-            w = words[first[i] : first[i + 1]]
-            if len(w):
-                out[i] = w.mean(), w.max(), np.maximum(w - 4, 0).mean()
+        n = np.diff(first)
+        some = n > 0
+        out[some] = (sums[first[1:]] - sums[first[:-1]])[some] / n[some]
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = self.features(texts) * SCALE
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:3] + self.weights[3], -30, 30)))
+        """The evidence as a number in [0, 1]: 0.5 where it is at the cut."""
+        x = np.maximum(self.evidence(texts), 0)
+        return np.ones(len(x)) if self.cut <= 0 else x / (x + self.cut)
 
 
-SCALE = np.array([5.0, 0.1, 2.0])
+MARGIN = 2.0
 
 
 def count_grams(labelled: DataFrame) -> DataFrame:
-    """code, plain, toxic: in how many texts of either label each 5-gram stands. labelled: text, toxic.
+    """code, and in how many texts of either label each 5-gram stands: plain, toxic, and of these in texts of part 0,
+    plain0, toxic0. labelled: text, toxic, part.
 
     Texts, not places, are counted, so that a text that repeats itself has no more say than others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, labels = batch.column(0).to_pylist(), np.asarray(batch.column(1).to_numpy(zero_copy_only=False))
-            for label in (0, 1):
-                own = [np.unique(grams(stream([t])[0])) for t, x in zip(texts, labels) if x == label and t]
+            texts, kinds = batch.column(0).to_pylist(), np.asarray(batch.column(1).to_numpy(zero_copy_only=False))
+            for kind in range(4):
+                own = [np.unique(grams(stream([t])[0])) for t, x in zip(texts, kinds) if x == kind and t]
                 if own:
                     codes, n = np.unique(np.concatenate(own), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(np.full(len(codes), label, np.int32)), pa.array(n.astype(np.int64))], ["code", "toxic", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(np.full(len(codes), kind, np.int32)), pa.array(n.astype(np.int64))], ["code", "kind", "n"])
 
-    counted = labelled.select("text", F.col("toxic").cast("int")).mapInArrow(run, "code long, toxic int, n long")
-    return counted.groupBy("code").agg(F.sum(F.col("n") * (1 - F.col("toxic"))).alias("plain"), F.sum(F.col("n") * F.col("toxic")).alias("toxic"))
+    kind = (F.col("toxic") + F.when(F.col("part") == 0, 2).otherwise(0)).cast("int")
+    counted = labelled.select("text", kind.alias("kind")).mapInArrow(run, "code long, kind int, n long")
+    names = {"plain": "kind % 2 = 0", "toxic": "kind % 2 = 1", "plain0": "kind = 2", "toxic0": "kind = 3"}
+    return counted.groupBy("code").agg(*[F.coalesce(F.sum(F.when(F.expr(which), F.col("n"))), F.lit(0)).cast("int").alias(c) for c, which in names.items()])
 
 
 def _shares(codes: np.ndarray, n: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,19 +207,18 @@ def fit_counts(codes: np.ndarray, plain: np.ndarray, toxic: np.ndarray, discount
     return Model(five, four, three, left.astype(np.float32), pairs.astype(np.float32))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton's method, the classes weighed alike; the constant last."""
-    x = np.column_stack([x * SCALE, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        keep = ridge * np.array([*[0.01] * (len(w) - 1), 1e-6])
-        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (each * (p - y)) + keep * w)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+def best_cut(x: np.ndarray, y: np.ndarray) -> float:
+    """The evidence from which fewest rows are on the wrong side if called toxic; of a stretch of equally good cuts that
+    holds the fewest wrong, the middle of the widest. Above zero, since no evidence is never toxic."""
+    values, at = np.unique(np.maximum(x, 0), return_inverse=True)
+    wrong = np.bincount(at, np.where(y == 1, 1, -1), len(values))
+    # errors[i]: toxic rows below values[i] and ordinary rows from it on; one more for a cut above all.
+    errors = np.concatenate([[0], np.cumsum(wrong)]) + (y == 0).sum()
+    low, high = np.concatenate([[0.0], values]), np.concatenate([values, [4 * values[-1] + 1]])
+    ok = high > 0
+    good = np.flatnonzero(ok & (errors == errors[ok].min()))
+    widest = good[np.argmax(high[good] - low[good])]
+    return float((low[widest] + high[widest]) / 2)
 
 
 def training_keys(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
@@ -234,31 +239,38 @@ def training_keys(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 25_000) -> Model:
     """Models of the labelled documents that aren't held out, about `most` of either label (a documented bound of what a
-    classifier learns from). Four fifths of their texts are counted, the rest sets the weights of the features.
+    classifier learns from). Models of four fifths of their texts set the cut on the last fifth, then models of all of
+    them score.
 
     Every 5-gram of those texts is kept, so the model's size follows from them. Without both labels every score is 0, or 1
     if there are only toxic ones."""
     keys = training_keys(docs, labels, id_col, text_col, most)
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(keys), "key")
-    counts = count_grams(rows.where("part > 0")).select("code", F.col("plain").cast("int"), F.col("toxic").cast("int")).toArrow()
-    codes, plain, toxic = (c.to_numpy() for c in counts.columns)
-    model = fit_counts(codes.astype(np.uint64), plain.astype(float), toxic.astype(float))
-    known = {r.toxic for r in keys.select("toxic").distinct().collect()}
+    counts = count_grams(rows).toArrow()
+    codes, plain, toxic, plain0, toxic0 = (c.to_numpy() for c in counts.columns)
+    codes, cut = codes.astype(np.uint64), None
+    of = {(r.toxic, r.last): r.n for r in keys.groupBy("toxic", (F.col("part") == 0).alias("last")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = {label for label, _ in of}
     if len(known) < 2:
-        model.weights = np.array([0.0, 0.0, 0.0, 30.0 if 1 in known else -30.0])
-        return model
-    found = score_rows(rows.where("part = 0"), model, ["toxic"], features=True).toPandas()
-    if found.toxic.nunique() < 2:
-        found = pd.concat([found, score_rows(rows.where("part > 0"), model, ["toxic"], features=True).toPandas()])
-    model.weights = fit_weights(np.array(found.x.tolist(), float).reshape(-1, 3), found.toxic.to_numpy(int))
+        cut = 0.0 if 1 in known else float("inf")
+    elif all(of.get((label, last)) for label in (0, 1) for last in (True, False)):
+        part = plain + toxic > plain0 + toxic0
+        cut = _cut_on(rows.where("part = 0"), fit_counts(codes[part], (plain - plain0)[part].astype(float), (toxic - toxic0)[part].astype(float)))
+    model = fit_counts(codes, plain.astype(float), toxic.astype(float))
+    model.cut = _cut_on(rows, model) if cut is None else cut
     return model
 
 
-def score_rows(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", features: bool = False, rows: int = 64) -> DataFrame:
-    """`columns` of docs with `score`, or with the features `x`. The model, whose size follows from what it learned from, is broadcast."""
+def _cut_on(rows: DataFrame, model: Model) -> float:
+    found = score_rows(rows, model, ["toxic"], evidence=True).toPandas()
+    return best_cut(found.x.to_numpy(float), found.toxic.to_numpy(int))
+
+
+def score_rows(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", evidence: bool = False, rows: int = 64) -> DataFrame:
+    """`columns` of docs with `score`, or with the evidence `x`. The model, whose size follows from what it learned from, is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     few = docs.select(*columns, F.col(text_col).alias("_text"))
-    kind, into = ("array<double>", "x") if features else ("double", "score")
+    into = "x" if evidence else "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -266,10 +278,10 @@ def score_rows(docs: DataFrame, model: Model, columns: list[str], text_col: str
             for lo in range(0, whole.num_rows, rows):
                 batch = whole.slice(lo, rows)
                 texts = batch.column(len(columns)).to_pylist()
-                out = pa.array(m.features(texts).tolist(), pa.list_(pa.float64())) if features else pa.array(m.score(texts))
+                out = pa.array(m.evidence(texts) if evidence else m.score(texts))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], out], [*columns, into])
 
-    return few.mapInArrow(run, few.drop("_text").withColumn(into, F.lit(None).cast(kind)).schema)
+    return few.mapInArrow(run, few.drop("_text").withColumn(into, F.lit(None).cast("double")).schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
@@ -280,8 +292,7 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs. Only the text enters the score.
 
-    A text without words, null too, scores as a text that is no evidence at all: the constant of the weights, which
-    lies on the ordinary side. Repeated rows score alike. Without labels of both kinds every score is 0 (1 if there
+    A text without words, null too, has no evidence and scores 0. Repeated rows score alike. Without labels of both kinds every score is 0 (1 if there
     are toxic ones only). An empty table gives an empty result."""
     model = model or fit(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -173,6 +173,51 @@ def test_kneser_ney_sums_to_one():
             assert math.isclose(sum(float(x[k][-1]) for x in p), 1, abs_tol=1e-3)
 
 
+def test_kneser_ney_by_brute_force():
+    """Interpolated Kneser-Ney as it is written down: own counts of 5-grams, shared counts of histories below."""
+    rng = random.Random(3)
+    texts = [(" ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(60)), k) for k in (0, 1, 0)]
+    counts = [Counter(), Counter()]
+    for t, k in texts:
+        data = toxicity.stream([t])[0].tobytes()
+        counts[k].update({data[i : i + 5] for i in range(len(data) - 4)})
+    codes = sorted(set(counts[0]) | set(counts[1]))
+    m = toxicity.fit_counts(np.array([int.from_bytes(c, "big") for c in codes], np.uint64), *(np.array([float(n[c]) for c in codes]) for n in counts))
+    levels = {5: counts}
+    for order in (4, 3, 2):
+        longer = set(levels[order + 1][0]) | set(levels[order + 1][1])
+        levels[order] = [Counter(g[1:] for g in longer)] * 2
+    last = Counter(g[1:] for g in levels[2][0])
+
+    def slow(gram, k):
+        if len(gram) == 1:
+            return (last[gram] + 1 / 256) / (sum(last.values()) + 1)
+        own = {g: n for g, n in levels[len(gram)][k].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return slow(gram[1:], k)
+        return max(own.get(gram, 0) - 0.75, 0) / sum(own.values()) + 0.75 * len(own) / sum(own.values()) * slow(gram[1:], k)
+
+    for _ in range(300):
+        gram = bytes(rng.choice(b"abcd  e") for _ in range(5)) if rng.random() < 0.5 else rng.choice(codes)
+        got = m.probabilities(np.frombuffer(b"x" + gram, np.uint8))
+        for k in (0, 1):
+            assert math.isclose(float(got[k][-1]), slow(gram, k), rel_tol=1e-5)  # tables are in single precision
+    text = " ".join(t for t, _ in texts[:2])
+    data = toxicity.stream([text])[0].tobytes()
+    ratio = [math.log(slow(data[i - 4 : i + 1], 1) / slow(data[i - 4 : i + 1], 0)) for i in range(4, len(data))]
+    words = [i for i in range(len(ratio)) if data[i + 4] == 32] + [len(ratio)]
+    excess = [max(sum(ratio[i:j]) - toxicity.MARGIN, 0) ** 2 for i, j in zip(words, words[1:])]
+    assert math.isclose(m.evidence(["", text, None])[1], sum(excess) / len(excess), rel_tol=1e-4) and m.evidence(["", text, " "])[[0, 2]].tolist() == [0, 0]
+
+
+def test_best_cut():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        x, y = rng.integers(0, 6, 12) * 1.0, rng.integers(0, 2, 12)
+        cut = toxicity.best_cut(x, y)
+        assert cut > 0 and ((x >= cut) != y).sum() == min(((x >= c) != y).sum() for c in np.arange(0.5, 7))
+
+
 def test_kneser_ney_keeps_every_gram():
     """No gram is lost to another, whatever their number: tables have all shares, and probabilities sum to one."""
     rng = np.random.default_rng(8)
