@@ -51,57 +51,121 @@ def best(row: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
     return others[np.lexsort((ids[others], -s))[:k]]
 
 
-def _packed(df: DataFrame, number: str, blocks: int) -> DataFrame:
-    """Rows (id, vector) in one row per block: `number`, ids, vectors. Blocks go by a hash of row place, id and vector, so a
-    repeated row or id doesn't fill one."""
-    block = F.pmod(F.xxhash64("id", "vector", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    return df.withColumn(number, block).groupBy(number).agg(F.collect_list(F.struct("id", "vector")).alias("r")).select(number, F.col("r.id").alias("ids"), F.col("r.vector").alias("vectors"))
+def blocks(rows: int, queries: int, candidate_block: int, query_block: int) -> tuple[int, int]:
+    """Blocks of candidates and of queries. Small tables have 64 blocks of candidates, of 1,024 rows or more, for the
+    cores' sake."""
+    return max(-(-rows // candidate_block), min(64, -(-rows // 1024)), 1), max(1, -(-queries // query_block))
 
 
-def top_k(rows: DataFrame, k: int = 10, scale: float = 1024.0, query_every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 512, candidate_block: int = 4096) -> DataFrame:
+def top_k(rows: DataFrame, k: int = 10, scale: float = 1024.0, query_every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 16_384, candidate_block: int = 65_536, tile: int = 1 << 21) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each row whose id is divisible by query_every.
 
-    Queries and candidates are packed into blocks of about the sizes given, and every pair of blocks is one row of an
-    equi-join on the grid, scored in one step with a dense score array of query_block x candidate_block; each pair
-    hands on k rows per query, which a window merges. Blocks are bounded whatever the input, nothing is collected or
-    broadcast by hand, and the work is the whole search.
-
-    Rows with a null id or vector, or a null or non-finite component, take no part. A query's own row is any row with its
-    id; rows that share a query id are queries of their own. Missing terms of shorter vectors count as zero. Scores
-    beyond a long are held to its range. An empty table gives an empty result.
+    Queries are dealt in blocks of about query_block and candidates in blocks of about candidate_block, and every pair of
+    blocks is one group, so a candidate moves once per query_block queries. A group holds its queries, and reads its
+    candidates batch by batch as they come: each batch is scored against slices of queries, `tile` scores at a time in a
+    dense array, and the k best of each query so far are merged with those of the batch. A group hands on k rows per
+    query, which a window merges. Blocks are bounded whatever the input, and nothing is collected or broadcast.
+
+    Rows are dealt by hash of id and vector, and a query is told by its id and that hash, so a task that runs again finds the
+    same rows and queries in whatever order they arrive. Repeats of a row are counted before rows move. Rows with a null id or vector, or a null or non-finite
+    component, take no part. A query's own row is any row with its id; rows that share a query id are queries of their
+    own. Missing terms of shorter vectors count as zero. Scores beyond a long are held to its range. An empty table gives
+    an empty result.
     """
     bad = F.exists(F.col(vector_col), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = rows.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & ~bad)
-    valid = valid.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("vector"))
-    asked = valid.where(F.col("id") % query_every == 0)
-    n, q = valid.count(), asked.count()
-    n_blocks, q_blocks = max(1, -(-n // candidate_block)), max(1, -(-q // query_block))
-    candidates = _packed(valid, "cb", n_blocks).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    queries = _packed(asked, "qb", q_blocks).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = queries.withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"}).join(candidates, ["qb", "cb"]).select("qb", "q_ids", "q_vectors", "ids", "vectors")
-
-    def matrix(x: pa.Scalar) -> np.ndarray:
-        lists = x.values
-        return _matrix(lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.value_lengths()), scale)
+    valid = valid.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+    n, q = valid.agg(F.count(F.lit(1)), F.count_if(F.col("id") % query_every == 0)).first()
+    n_blocks, q_blocks = blocks(n, q, candidate_block, query_block)
+    # Repeats of a row differ in nothing, and no answer has more than k of them.
+    counted = valid.groupBy("id", "vector").agg(F.count(F.lit(1)).alias("copies"))
+    key = F.xxhash64("id", "vector")
+    asked = counted.where(F.col("id") % query_every == 0)
+    cb, qb = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(n_blocks)).cast("int"), F.pmod(key, F.lit(q_blocks)).cast("int")
+    every = [F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(c) for m, c in ((n_blocks, "cb"), (q_blocks, "qb"))]
+    many = F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k + 1)))).alias("copy")
+    candidates = counted.select("id", "vector", cb.alias("cb"), many).select(F.col("cb"), every[1], F.lit(None).cast("long").alias("hash"), "id", "vector")
+    queries = asked.select(every[0], qb.alias("qb"), key.alias("hash"), "id", "vector")
+    parts = min(n_blocks * q_blocks, 1 << 16)
+    together = queries.unionByName(candidates).repartition(parts, "cb", "qb").sortWithinPartitions("cb", "qb", F.desc_nulls_last("hash"), "id")
+
+    def matrix(column: pa.ListArray) -> np.ndarray:
+        return _matrix(column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.value_lengths()), scale)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                qb, q_ids, q_vectors, ids, vectors = (batch.column(j)[i] for j in range(5))
-                q_ids, ids = q_ids.values.to_numpy(), ids.values.to_numpy()
-                s = scores(matrix(q_vectors), matrix(vectors))
-                found = [best(s[j], ids, own, k) for j, own in enumerate(q_ids)]
-                sizes = list(map(len, found))
-                at = np.concatenate(found) if found else np.zeros(0, int)
-                nth = np.repeat(np.arange(len(q_ids)), sizes)
-                got = s[nth, at]
-                if got.dtype == object:
-                    got = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in got], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), qb.as_py()), pa.int32()), pa.array(nth, pa.int32()), pa.array(q_ids[nth]), pa.array(ids[at]), pa.array(got.astype(np.int64))], ["qb", "nth", "query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "qb int, nth int, query_id long, vec_id long, score long")
-    order = Window.partitionBy("qb", "nth").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        key, state = None, Group(k, tile)
+        for whole in batches:
+            cb, qb = (np.asarray(whole.column(j)) for j in (0, 1))
+            cuts = np.flatnonzero((np.diff(cb) != 0) | (np.diff(qb) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, whole.num_rows]):
+                if hi == lo:
+                    continue
+                if (now := (cb[lo], qb[lo])) != key:
+                    if key is not None:
+                        yield from state.found()
+                    key, state = now, Group(k, tile)
+                batch = whole.slice(lo, hi - lo)
+                n_queries = batch.num_rows - batch.column(2).null_count  # they come first
+                ids, vectors = batch.column(3).to_numpy(), batch.column(4)
+                if n_queries:
+                    state.ask(batch.column(2).slice(0, n_queries).to_numpy(), ids[:n_queries], matrix(vectors.slice(0, n_queries)))
+                if n_queries < batch.num_rows:
+                    state.meet(ids[n_queries:], matrix(vectors.slice(n_queries)))
+        if key is not None:
+            yield from state.found()
+
+    found = together.mapInArrow(run, "hash long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "hash").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # Queries that are repeats of one row have the same answer; each gets it.
+    repeated = asked.where("copies > 1").select(F.col("id").alias("query_id"), key.alias("hash"), "copies")
+    each = ranked.join(repeated, ["query_id", "hash"], "left").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))))
+    return each.select("query_id", "rank", "vec_id", "score")
+
+
+class Group:
+    """The queries of one block and the k best candidates that each has met so far."""
+
+    def __init__(self, k: int, tile: int):
+        self.k, self.tile = k, tile
+        self.hashes, self.ids, self.vectors = [], [], []
+        self.kept: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def ask(self, hashes: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.hashes.append(hashes)
+        self.ids.append(ids)
+        self.vectors.append(vectors)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Candidates of one batch: scored in slices of queries, then merged with what was kept. kept: which query, the
+        candidate's id, the score."""
+        if not self.ids:
+            return
+        if len(self.vectors) > 1:
+            width = max(v.shape[1] for v in self.vectors)
+            self.vectors = [np.vstack([np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in self.vectors])]
+            self.ids, self.hashes = [np.concatenate(self.ids)], [np.concatenate(self.hashes)]
+        own, asked = self.ids[0], self.vectors[0]
+        got = [self.kept] if self.kept else []
+        step = max(1, self.tile // max(1, len(ids)))
+        for lo in range(0, len(own), step):
+            s = scores(asked[lo : lo + step], vectors)
+            found = [best(s[j], ids, x, self.k) for j, x in enumerate(own[lo : lo + step])]
+            which, at = np.repeat(np.arange(len(found)), list(map(len, found))), np.concatenate(found)
+            value = s[which, at]
+            if value.dtype == object:
+                value = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in value], np.int64)
+            got.append((which + lo, ids[at], value.astype(np.int64)))
+        which, at, value = (np.concatenate(x) for x in zip(*got))
+        order = np.lexsort((at, -np.maximum(value, -(2**63) + 1), which))
+        which, at, value = which[order], at[order], value[order]
+        place = np.arange(len(which)) - np.searchsorted(which, which)
+        self.kept = tuple(x[place < self.k] for x in (which, at, value))
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if self.kept and len(self.kept[0]):
+            which, at, value = self.kept
+            yield pa.RecordBatch.from_arrays([pa.array(self.hashes[0][which]), pa.array(self.ids[0][which]), pa.array(at), pa.array(value)], ["hash", "query_id", "vec_id", "score"])
 
 
 ORACLE = """

@@ -178,3 +178,17 @@ def test_top_k(spark):
     assert topk.top_k(frame.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [3e38]), (1, [3e38]), (2, [-1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(few).collect()] == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))]
+
+
+def test_top_k_in_blocks(spark):
+    """Copies that move: of a million rows each goes once as a candidate, and queries, a hundredth, to 64 blocks. Blocks,
+    tiles and repeats of a row by the thousand change no result."""
+    assert topk.blocks(1_000_000, 10_000, 65_536, 16_384) == (64, 1)
+    assert topk.blocks(0, 0, 65_536, 16_384) == (1, 1) and topk.blocks(10**8, 10**6, 65_536, 16_384) == (1526, 62)
+    rng = np.random.default_rng(9)
+    rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 5)]) for i in range(500)] + [(200, [3.0, 1.0, 0.0, 0.0, 0.0])] * 3 + [(7, [3.0] * 5)] * 2000
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = Counter(map(tuple, topk.top_k(frame).collect()))
+    got = Counter(map(tuple, topk.top_k(frame.orderBy("vec_id"), query_block=2, candidate_block=50, tile=300).collect()))
+    assert got == want and sum(want.values()) == 80
+    assert [r[2] for r in sorted(want) if r[0] == 0].count(7) <= 10
