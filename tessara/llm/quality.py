@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessara.llm.common import SPACES, words, written
+from tessara.llm.common import SPACES, words
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -35,6 +34,20 @@ RULES = (
 BASE = ("too_short", "repeated_windows")
 
 
+FULL = "coalesce(_text, '')"
+#: Measures that are one SQL expression, which a rule can hold within itself.
+SHORT = {
+    "n_lines": (("_lines",), "CAST(size(_lines) AS BIGINT)"),
+    "n_upper": ((), f"CAST(length({FULL}) - length(regexp_replace({FULL}, '[A-Z]+', '')) AS BIGINT)"),
+    "n_exclaims": ((), f"CAST(length({FULL}) - length(replace({FULL}, '!', '')) AS BIGINT)"),
+}
+#: Characters that a step reads, for a text of n_chars characters and n_words words: what it costs, the same in every run.
+WORK = {
+    "_words": "n_chars", "_lines": "n_chars", "_windows": "3 * n_chars + 16 * n_words", "word_chars": "n_chars", "n_symbols": "n_chars", "n_dup_lines": "n_chars",
+    "n_upper": "n_chars", "n_exclaims": "n_chars", "n_repeat_words": "40 * n_words",
+}
+
+
 def steps() -> dict[str, tuple[tuple[str, ...], Column]]:
     """What can be computed of column _text: the steps it needs, and how. Names with an underscore are on the way."""
     text = F.col("_text")
@@ -49,12 +62,9 @@ def steps() -> dict[str, tuple[tuple[str, ...], Column]]:
         "n_words": (("_words",), F.size("_words").cast("long")),
         "word_chars": (("_words",), F.length(F.array_join("_words", "")).cast("long")),
         "n_symbols": ((), F.regexp_count(full, F.lit(SYMBOLS)).cast("long")),
-        "n_lines": (("_lines",), F.size("_lines").cast("long")),
         "n_dup_lines": (("_lines",), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")),
-        "n_upper": ((), (F.length(full) - F.length(F.regexp_replace(full, "[A-Z]+", ""))).cast("long")),
-        "n_exclaims": ((), (F.length(full) - F.length(F.replace(full, F.lit("!"), F.lit("")))).cast("long")),
         "n_repeat_words": (("_windows",), repeat_words()),
-    }
+    } | {name: (needs, F.expr(sql)) for name, (needs, sql) in SHORT.items()}
 
 
 def add(df: DataFrame, names: set[str]) -> DataFrame:
@@ -98,46 +108,70 @@ def _all(docs: DataFrame) -> list[Column]:
     return [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")]
 
 
-def rank_rules(sample: DataFrame, rules: tuple[Rule, ...], text_col: str = "text") -> list[dict]:
-    """Each rule's rejected share and seconds on the sample, the best rejection per cost first.
+def with_needs(names: set[str]) -> set[str]:
+    known, out = steps(), set(names)
+    while more := {n for m in out for n in known[m][0]} - out:
+        out |= more
+    return out
+
 
-    A rule's cost is what its own measures cost: the sample is judged by that rule alone, so Spark computes no more
-    than the rule reads. The sample should be small and at rest."""
+def rank_rules(sample: DataFrame, rules: tuple[Rule, ...], text_col: str = "text") -> list[dict]:
+    """Each rule's rejected share and work on the sample, the best rejection per work first, ties by name.
+
+    A rule's work is that of its own steps, in characters read, from the lengths of the sample's texts. It is counted and
+    not timed, so the order is the same whenever the rows are."""
+    judged = add(sample.select(F.col(text_col).alias("_text")), {n for r in rules for n in needed(r)} | {"n_words"})
+    work = {r.name: " + ".join(sorted(WORK[n] for n in with_needs(needed(r)) if n in WORK)) or "0" for r in rules}
+    judged = judged.withColumn("n_chars", F.expr(f"length({FULL})"))
+    found = judged.agg(F.count(F.lit(1)).alias("n"), *[f for r in rules for f in (F.count_if(F.expr(r.rejects)).alias(f"r_{r.name}"), F.sum(F.expr(work[r.name])).cast("double").alias(f"w_{r.name}"))]).first()
     out = []
-    total = max(1, sample.count())
     for rule in rules:
-        judged = add(sample.select(F.col(text_col).alias("_text")), needed(rule)).where(rule.rejects)
-        judged.count()  # once to compile
-        began = time.perf_counter()
-        rejected = judged.count()
-        cost = max(time.perf_counter() - began, 1e-6)
-        out.append({"rule": rule, "rejected": rejected / total, "seconds": cost, "gain": rejected / total / cost})
+        share, cost = found[f"r_{rule.name}"] / max(1, found["n"]), (found[f"w_{rule.name}"] or 0.0) / max(1, found["n"]) + 1
+        out.append({"rule": rule, "rejected": share, "work": cost, "gain": share / cost})
     return sorted(out, key=lambda x: (-x["gain"], x["rule"].name))
 
 
 def ordered(docs: DataFrame, rules: tuple[Rule, ...], text_col: str, sample_rows: int) -> list[Rule]:
-    """The rules in the order of their rejection per cost on at most sample_rows rows of docs."""
-    sample = written(docs.select(text_col).limit(sample_rows), "rules-sample")
-    return [x["rule"] for x in rank_rules(sample, rules, text_col)]
+    """The rules in the order of their rejection per work on about sample_rows rows of docs, taken by hash over the whole
+    table (all rows of a table that has no more)."""
+    n, scale = docs.count(), 1 << 30
+    drawn = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(scale)) < int(scale * min(1.0, sample_rows / max(1, n)))
+    return [x["rule"] for x in rank_rules(docs.where(drawn) if n > sample_rows else docs, rules, text_col)]
+
 
+def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = 1000, keep: list[Column] | None = None, report: tuple[str, ...] | None = None) -> DataFrame:
+    """The measures in `report` (None: all) of each document, `kept`, and `failed_rule`, the first rule that rejects it in
+    the cascade's order.
 
-def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = 500, keep: list[Column] | None = None) -> DataFrame:
-    """All measures of each document, `kept`, and `failed_rule`, the first rule that rejects it in the cascade's order.
+    A measure that isn't reported is worked out within its rule, and so only for documents that no rule before it
+    rejects, if it is one of SHORT; others are worked out first.
 
     Other columns: those of `keep`, or all of docs as struct `row`, so that no names clash. Null texts have no words. Text
     of any length is measured whole. An empty table gives an empty result. The order sets which failed rule is named
-    and, in filtered(), the cost; never `kept`."""
+    and the cost; never `kept`."""
     order = ordered(docs, rules, text_col, sample_rows)
-    failed = F.expr("CASE " + " ".join(f"WHEN {r.rejects} THEN '{r.name}'" for r in order) + " END")
-    df = add(docs.select(*(_all(docs) if keep is None else keep), F.col(text_col).alias("_text")), {n for n in steps() if n[0] != "_"})
+    every = {n for n in steps() if n[0] != "_"}
+    shown = every if report is None else set(report)
+    inside = {n for r in rules for n in needed(r)} - shown
+    late = inside & set(SHORT)
+    first = shown | (inside - late) | {n for m in late for n in SHORT[m][0]}
+
+    def test(rule: Rule) -> str:
+        sql = rule.rejects
+        for name in sorted(needed(rule) & late):
+            sql = f"exists(array({SHORT[name][1]}), {name} -> {sql})"
+        return sql
+
+    failed = F.expr("CASE " + " ".join(f"WHEN {test(r)} THEN '{r.name}'" for r in order) + " END")
+    df = add(docs.select(*(_all(docs) if keep is None else keep), F.col(text_col).alias("_text")), first)
     df = df.withColumn("failed_rule", failed).withColumn("kept", F.col("failed_rule").isNull())
-    return df.drop("_text", "_words", "_lines", "_windows")
+    return df.drop("_text", "_words", "_lines", "_windows", *((inside - late) - shown))
 
 
-def filtered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = 500) -> DataFrame:
+def filtered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = 1000) -> DataFrame:
     """The documents that no rule rejects, with the columns of docs.
 
-    Rules follow each other in the order of their rejection per cost, each a filter after the steps that only it needs;
+    Rules follow each other in the order of their rejection per work, each a filter after the steps that only it needs;
     a rejected document goes no further, so later measures are computed for those that are left."""
     df = docs.select(*_all(docs), F.col(text_col).alias("_text"))
     for rule in ordered(docs, rules, text_col, sample_rows):
@@ -145,10 +179,14 @@ def filtered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "
     return df.select("row.*")
 
 
+#: What the digest reports, and cascade() need not leave out.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def digest(judged: DataFrame) -> DataFrame:
     """Columns doc_id, the base measures, base_failed and kept."""
     base = F.expr(" OR ".join(f"({r.rejects})" for r in RULES if r.name in BASE))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
+    return judged.select("doc_id", *REPORTED, base.alias("base_failed"), "kept")
 
 
 ORACLE = r"""

@@ -14,7 +14,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.digest(quality.cascade(table(spark, sf_dir, "documents"), keep=[F.col("doc_id")]))
+    return quality.digest(quality.cascade(table(spark, sf_dir, "documents"), keep=[F.col("doc_id")], report=quality.REPORTED))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

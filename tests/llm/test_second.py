@@ -47,8 +47,13 @@ def test_quality(spark):
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
     kept = {r.doc_id for r in got if r.kept}
     assert {100 + i for i in range(40) if slow_measures(rows[8 + i][1])[0] >= 50} <= kept and not kept & {301, 302}
-    assert quality.filtered(docs(spark, rows)).columns == docs(spark, []).columns
-    assert quality.cascade(docs(spark, [])).count() == 0
+    passed = quality.filtered(docs(spark, rows))
+    assert passed.columns == docs(spark, []).columns and Counter((r.doc_id, r.text) for r in passed.collect()) == Counter((r["row"].doc_id, r["row"].text) for r in quality.cascade(docs(spark, rows)).where("kept").collect())
+    # Measures within rules, a sample that is a part of the table, and another order of rules change no verdict.
+    some = quality.cascade(docs(spark, rows), sample_rows=20, report=quality.REPORTED, rules=quality.RULES[::-1])
+    assert some.columns == ["row", *sorted(some.columns[1:-2], key=some.columns.index), "failed_rule", "kept"] and "n_upper" not in some.columns
+    assert Counter((r["row"].doc_id, r.kept) for r in some.collect()) == Counter((r.doc_id, r.kept) for r in got)
+    assert quality.cascade(docs(spark, [])).count() == 0 == quality.filtered(docs(spark, [])).count()
 
 
 def test_rules_by_gain(spark):
