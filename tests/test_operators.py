@@ -68,9 +68,9 @@ def test_time_associate_in_stretches(spark):
             size *= 2 if len(left) == len(rest) else 1
             rest, turn = sorted(left, key=lambda p: (p[0], not p[1])), turn + 1
         assert sorted(found) == greedy({*a}, {*b}, tolerance)
-    a, b = [10.0 * i for i in range(60)], [10.0 * i + 4 - i / 20 for i in range(60)]
+    a, b = [10.0 * i for i in range(16)], [10.0 * i + 4 - i / 20 for i in range(16)]
     one, two = spark.createDataFrame([(x,) for x in a], "a double"), spark.createDataFrame([(x,) for x in b], "b double")
-    assert [x[:2] for x in rows(joins.time_associate(one, two, 20.0, chunk=40))] == greedy({*a}, {*b}, 20.0)
+    assert [x[:2] for x in rows(joins.time_associate(one, two, 20.0, chunk=24))] == greedy({*a}, {*b}, 20.0)
 
 
 def test_forest_of_many_sequences(spark):
