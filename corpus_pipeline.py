@@ -1,8 +1,8 @@
 """From raw documents to token ids: five stages, each a corpus operator over all that the one before kept.
 
 Stages but the last return the columns of documents. In a stage of a run, a document is a row; mixing repeats rows. No
-SQL gives these rows (Kneser-Ney scores, XXH64 fingerprints and BPE), so ORACLE_SQL is None and the tests hold each
-stage against a brute-force version.
+SQL gives these rows (Kneser-Ney scores, XXH64 fingerprints and BPE), so ORACLE_SQL is None. The tests hold the operators
+against brute-force versions, and each stage against its operator.
 """
 
 from __future__ import annotations
