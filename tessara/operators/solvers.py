@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from math import ceil, log
 
 import numpy as np
@@ -128,39 +128,30 @@ def ransac(x: np.ndarray, y: np.ndarray, samples: int, fit: Fit, residuals: Resi
 
 
 def adaptive_ransac(x: np.ndarray, y: np.ndarray, samples: int, fit: Fit, residuals: Residuals, c: RansacConfig) -> RansacReport:
-    """ransac() with the residual limit scaled, then halved in, until the share of inliers is near target_ratio."""
-    from dataclasses import replace
-
-    def at(limit: float) -> RansacReport:
-        return ransac(x, y, samples, fit, residuals, replace(c, max_residual=limit))
-
-    def near(r: RansacReport) -> bool:
-        return abs(r.ratio - c.target_ratio) < c.ratio_delta
-
-    now = at(c.max_residual)
-    if near(now) or not now.success:
-        return now
-    factor = c.step if now.ratio > c.target_ratio else 1 / c.step
+    """ransac() at the residual limit whose share of inliers is nearest target_ratio, within ratio_delta.
+
+    The share grows with the limit, so the limits tried so far leave a bracket: the tightest whose share is above the
+    target and the loosest whose share isn't. While one side is missing the limit is scaled by step towards it, and
+    given up where it is wide (a tenth of upper_bound) and still finds under min_stop_ratio; then the middle is tried,
+    until the sides are end_delta apart. Where the share jumps over the target, the looser side whose limit is below
+    upper_bound is taken; there is none: no success."""
+    bracket: dict[bool, RansacReport] = {}
+    limit = c.max_residual
     while True:
-        before, now = now, at(now.max_residual * factor)
-        if near(now):
-            return now
-        if now.max_residual >= c.upper_bound / 10 and now.ratio < c.min_stop_ratio:
-            now.success = False
-            return now
-        if (now.ratio > c.target_ratio) != (before.ratio > c.target_ratio) or abs(now.max_residual - before.max_residual) <= c.end_delta:
+        found = ransac(x, y, samples, fit, residuals, replace(c, max_residual=limit))
+        if abs(found.ratio - c.target_ratio) < c.ratio_delta or not (bracket or found.success):
+            return found
+        above = found.ratio > c.target_ratio
+        if bracket and not bracket.keys() - {above} and limit >= c.upper_bound / 10 and found.ratio < c.min_stop_ratio:
+            return replace(found, success=False)
+        bracket[above] = found
+        ends = [r.max_residual for r in bracket.values()]
+        after = sum(ends) / 2 if len(ends) == 2 else limit * (c.step if above else 1 / c.step)
+        if np.ptp([*ends, after]) <= c.end_delta or not np.isfinite(after):
             break
-    high, low = (now, before) if now.ratio > c.target_ratio else (before, now)
-    while abs(high.max_residual - low.max_residual) > c.end_delta:
-        now = at((high.max_residual + low.max_residual) / 2)
-        if near(now):
-            return now
-        high, low = (now, low) if now.ratio > c.target_ratio else (high, now)
-    if high.max_residual >= c.upper_bound:
-        if low.max_residual < c.upper_bound:
-            return low
-        high.success = False
-    return high
+        limit = after
+    within = [bracket[side] for side in (True, False) if side in bracket and bracket[side].max_residual < c.upper_bound]
+    return within[0] if within else replace(bracket.get(True) or bracket[False], success=False)
 
 
 def line_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float] | None:
