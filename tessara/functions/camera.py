@@ -169,3 +169,11 @@ def truncation(z: Column, base: float = 0.02, scale: float = 0.06) -> Column:
 def stream_chunk(p: Column, extent: float = 1.0) -> Column:
     """The chunk of a world coordinate."""
     return half_away(p / extent)
+
+
+def chain_residual(i: Column, j: Column, k: Column, p: Column, pixel: Column, fx, fy, cx, cy, inverse: bool = False) -> Column:
+    """Where i^-1 j k takes point p in the image, less the pixel that saw it; inverse: (i^-1 j k)^-1 instead. i, j, k: poses,
+    of a node, of another one and of the latter's frame."""
+    chain = V.compose(V.inverse_pose(i), V.compose(j, k))
+    moved = V.transform_point(V.inverse_pose(chain) if inverse else chain, p)
+    return V.let(moved, lambda m: V.let(project(m, fx, fy, cx, cy), lambda at: F.array(at[0] - pixel[0], at[1] - pixel[1])))

@@ -85,15 +85,26 @@ def bag_of_words(words: DataFrame, image: str = "image", word: str = "word") ->
 
 
 def assign_words(descriptors: DataFrame, centres: np.ndarray, vector: str = "descriptor", into: str = "word") -> DataFrame:
-    """descriptors with the nearest of the vocabulary's centres, an array of a size the vocabulary sets."""
+    """descriptors with the nearest of the vocabulary's centres, an array of a size the vocabulary sets; ties to the first.
+    Rows meet centres in slices of 1,024 by 4,096, so scores take 32 MB whatever the vocabulary."""
     shared = descriptors.sparkSession.sparkContext.broadcast(np.asarray(centres, float))
 
+    def nearest(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+        best, at = np.full(len(v), np.inf), np.zeros(len(v), int)
+        for i in range(0, len(c), 4096):
+            part = c[i : i + 4096]
+            score = (part * part).sum(1) - 2 * v @ part.T
+            own = score.argmin(1)
+            least = score[np.arange(len(v)), own]
+            at, best = np.where(least < best, own + i, at), np.minimum(best, least)
+        return at
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
         for pdf in batches:
             if len(pdf):
                 v = np.array(pdf[vector].tolist(), float)
-                pdf[into] = ((c * c).sum(1) - 2 * v @ c.T).argmin(1)
+                pdf[into] = np.concatenate([nearest(v[i : i + 1024], c) for i in range(0, len(v), 1024)])
             else:
                 pdf[into] = np.zeros(0, int)
             yield pdf

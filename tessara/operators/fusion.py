@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -70,21 +69,24 @@ def visible_blocks(blocks: DataFrame, inside: Column) -> DataFrame:
     return blocks.where(inside)
 
 
-def allocate(rays: DataFrame, size: float = 0.01, side: int = 8, base: float = 0.02, scale: float = 0.06, most: float = 3.0, max_steps: int = 1024) -> DataFrame:
+def allocate(rays: DataFrame, size: float = 0.01, side: int = 8, base: float = 0.02, scale: float = 0.06, most: float = 3.0, max_steps: int = 1024, frame: str | None = None) -> DataFrame:
     """Blocks that a stretch of each ray around its depth passes. rays: origin, direction (arrays of 3, direction of depth
-    1 along the view), depth. A walk from cell to cell along the ray, at most max_steps. Distinct blocks come out."""
+    1 along the view), depth. A walk from cell to cell along the ray, at most max_steps. Distinct blocks come out; with
+    `frame`, a long column of rays, distinct blocks of each frame."""
+    own = [frame] if frame else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = size * side
         for pdf in batches:
             pdf = pdf[(pdf.depth > 0) & (pdf.depth <= most)]
-            found: set[tuple[int, int, int]] = set()
-            for o, d, z in zip(pdf.origin, pdf.direction, pdf.depth):
+            found: set[tuple[int, ...]] = set()
+            for o, d, z, *of in zip(pdf.origin, pdf.direction, pdf.depth, *[pdf[c] for c in own]):
                 o, d, t = np.array(o), np.array(d), base + scale * z
-                found.update(_walk((o + d * max(0.0, z - t)) / step, (o + d * min(most, z + t)) / step, max_steps))
-            yield pd.DataFrame(sorted(found), columns=["bx", "by", "bz"], dtype="int64")
+                found.update((*of, *cell) for cell in _walk((o + d * max(0.0, z - t)) / step, (o + d * min(most, z + t)) / step, max_steps))
+            yield pd.DataFrame(sorted(found), columns=[*own, "bx", "by", "bz"], dtype="int64")
 
-    return rays.select("origin", "direction", "depth").mapInPandas(run, "bx long, by long, bz long").distinct()
+    schema = ", ".join(f"`{c}` long" for c in [*own, "bx", "by", "bz"])
+    return rays.select("origin", "direction", "depth", *own).mapInPandas(run, schema).distinct()
 
 
 def _walk(a: np.ndarray, b: np.ndarray, max_steps: int) -> Iterator[tuple[int, int, int]]:
@@ -104,19 +106,22 @@ def _walk(a: np.ndarray, b: np.ndarray, max_steps: int) -> Iterator[tuple[int, i
         at[i] += each[i]
 
 
-def observe(blocks: DataFrame, depth: DataFrame, view: list[float], intrinsics: tuple[float, float, float, float], size: float = 0.01, side: int = 8, base: float = 0.02, scale: float = 0.06, most: float = 3.0, sign: float = 1.0) -> DataFrame:
+def observe(blocks: DataFrame, depth: DataFrame, view: list[float] | str, intrinsics: tuple[float, float, float, float], size: float = 0.01, side: int = 8, base: float = 0.02, scale: float = 0.06, most: float = 3.0, sign: float = 1.0) -> DataFrame:
     """Observations of the blocks' voxels by one frame: each voxel meets the depth pixel that it projects to, and counts
     if it isn't further behind the surface than the truncation. view: 3 x 4, world to camera, flat; depth: frame_index,
-    x, y, depth, r, g, b. sign -1 takes the frame out again."""
+    x, y, depth, r, g, b. sign -1 takes the frame out again. view as the name of a column: blocks have it and frame_index,
+    and a block's voxels meet the pixels of their own frame."""
     fx, fy, cx, cy = intrinsics
     local = F.explode(F.sequence(F.lit(0), F.lit(side**3 - 1)))
-    v = blocks.select("bx", "by", "bz", local.alias("i"))
-    v = v.select((F.col("bx") * side + F.col("i") % side).alias("vx"), (F.col("by") * side + F.floor(F.col("i") / side) % side).alias("vy"), (F.col("bz") * side + F.floor(F.col("i") / side**2)).alias("vz"))
+    own = ["frame_index"] if isinstance(view, str) else []
+    v = blocks.select("bx", "by", "bz", *own, *([F.col(view).alias("__view")] if own else []), local.alias("i"))
+    view = [F.col("__view")[i] for i in range(12)] if own else list(map(F.lit, view))
+    v = v.select(*own, *(["__view"] if own else []), (F.col("bx") * side + F.col("i") % side).alias("vx"), (F.col("by") * side + F.floor(F.col("i") / side) % side).alias("vy"), (F.col("bz") * side + F.floor(F.col("i") / side**2)).alias("vz"))
     w = [F.col(k) * size for k in KEY]
-    p = [sum((view[4 * i + j] * w[j] for j in range(3)), F.lit(view[4 * i + 3])) for i in range(3)]
+    p = [sum((view[4 * i + j] * w[j] for j in range(3)), view[4 * i + 3]) for i in range(3)]
     v = v.withColumn("pz", p[2]).where("pz > 0")
     v = v.withColumns({"x": F.floor(fx * p[0] / p[2] + cx + 0.5).cast("int"), "y": F.floor(fy * p[1] / p[2] + cy + 0.5).cast("int")})
-    seen = v.join(depth.where((F.col("depth") > 0) & (F.col("depth") <= most)), ["x", "y"])
+    seen = v.join(depth.where((F.col("depth") > 0) & (F.col("depth") <= most)), [*own, "x", "y"])
     trunc = base + scale * F.col("depth")
     sdf = F.col("depth") - F.col("pz")
     return seen.where(sdf > -trunc).select(*KEY, "frame_index", F.least(F.greatest(sdf, -trunc), trunc).alias("sdf"), F.lit(float(sign)).alias("weight"), "r", "g", "b")
@@ -145,20 +150,32 @@ def raycast(voxels: DataFrame, rays: DataFrame, size: float = 0.01, increment: f
     """First surface along each ray: ray_id, depth. rays: ray_id, origin, direction.
 
     Samples along rays meet the eight voxels around them in one equi-join; a sample counts if all eight have weight.
-    Where two samples in a row go from front to back and are close, the crossing is found by halving the linear
-    estimate."""
+    Where two samples in a row go from front to back and are close, the crossing is the linear estimate between them. Each
+    of `bisections` rounds samples the voxels at the estimate, takes the part that holds the change of sign and estimates
+    again; the last estimate counts, and a crossing whose estimate has no sample doesn't. State travels with the samples,
+    so a round is one more join of the crossings, which are few, and nothing before it is worked out twice."""
     from pyspark.sql import Window
 
     n = int((far - near) / increment)
     samples = rays.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("t", F.lit(near) + F.col("k") * increment)
     for i, k in enumerate(KEY):
         samples = samples.withColumn(f"p{k}", (F.col("origin")[i] + F.col("t") * F.col("direction")[i]) / size)
-    sampled = interpolate(samples.select("ray_id", "t", *[f"p{k}" for k in KEY]), voxels, ["ray_id", "t"])
+    sampled = interpolate(samples.select("ray_id", "t", *[f"p{k}" for k in KEY]), voxels, ["ray_id", "t"]).join(rays.select("ray_id", "origin", "direction"), "ray_id")
     along = Window.partitionBy("ray_id").orderBy("t")
     steps = sampled.withColumns({"t0": F.lag("t").over(along), "d0": F.lag("sdf").over(along)})
     hits = steps.where((F.col("d0") > 0) & (F.col("sdf") <= 0) & (F.col("t") - F.col("t0") < 1.5 * increment) & (F.abs(F.col("sdf") - F.col("d0")) < max_jump))
-    first = hits.groupBy("ray_id").agg(F.min_by(F.struct("t0", "d0", "t", "sdf"), "t").alias("h")).select("ray_id", "h.*")
-    return first.select("ray_id", linear_root("t0", "t", "d0", "sdf").alias("depth"))
+    state = ["ray_id", "origin", "direction", "start", "t0", "d0", "t1", "d1", "depth"]
+    now = hits.select("ray_id", "origin", "direction", F.col("t").alias("start"), "t0", "d0", F.col("t").alias("t1"), F.col("sdf").alias("d1"))
+    now = now.withColumn("depth", linear_root("t0", "t1", "d0", "d1"))
+    for i in range(bisections):
+        now = now.withColumns({f"p{k}": (F.col("origin")[j] + F.col("depth") * F.col("direction")[j]) / size for j, k in enumerate(KEY)})
+        now, front = interpolate(now, voxels, state), F.col("sdf") > 0
+        halves = {"t0": F.when(front, F.col("depth")).otherwise(F.col("t0")), "d0": F.when(front, F.col("sdf")).otherwise(F.col("d0"))}
+        halves |= {"t1": F.when(front, F.col("t1")).otherwise(F.col("depth")), "d1": F.when(front, F.col("d1")).otherwise(F.col("sdf"))}
+        now = now.withColumns(halves).drop("sdf")
+        if i + 1 < bisections:
+            now = now.withColumn("depth", linear_root("t0", "t1", "d0", "d1"))
+    return now.groupBy("ray_id").agg(F.min_by("depth", "start").alias("depth"))
 
 
 def linear_root(t0: str, t1: str, d0: str, d1: str) -> Column:
@@ -272,5 +289,3 @@ def mesh(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
     vertices = vertices.select((3 * F.col("i") + F.col("k")).alias("vertex_id"), F.col("p")[0].alias("x"), F.col("p")[1].alias("y"), F.col("p")[2].alias("z"))
     return vertices, numbered.select(*[(3 * F.col("i") + k).alias(n) for k, n in enumerate("abc")])
 
-
-_ = product

@@ -79,19 +79,40 @@ def normal_image(points: DataFrame) -> DataFrame:
     return points.select("*", *[N.normal_to_rgb(F.col("n")[i]).alias(c) for i, c in enumerate(("nr", "ng", "nb"))])
 
 
-def dense_match(left: DataFrame, right: DataFrame, warp: DataFrame, neigh: int = 2, radius: int = 5, normal_gate: float = 0.2, least: float | None = None) -> DataFrame:
+def _weighed_correlation(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by..., score of a and b with weights wa and wb; means and variances by either's own, the product by wa. Not below -1."""
+
+    def mean(weight: str, of: Column) -> Column:
+        return F.sum(F.col(weight) * of) / F.sum(weight)
+
+    a, b = F.col("a"), F.col("b")
+    sums = rows.groupBy(*by).agg(mean("wa", a).alias("ma"), mean("wb", b).alias("mb"), mean("wa", a * a).alias("aa"), mean("wb", b * b).alias("bb"), mean("wa", a * b).alias("ab"))
+    sums = sums.withColumns({"va": F.col("aa") - F.col("ma") ** 2, "vb": F.col("bb") - F.col("mb") ** 2}).where("va >= 1e-5 AND vb >= 1e-5")
+    return sums.select(*by, F.greatest(F.lit(-1.0), (F.col("ab") - F.col("ma") * F.col("mb")) / F.sqrt(F.col("va") * F.col("vb"))).alias("score"))
+
+
+def dense_match(left: DataFrame, right: DataFrame, warp: DataFrame, neigh: int = 2, radius: int = 5, normal_gate: float = 0.2, least: float | None = None, sigma_color: float | None = None, sigma_space: float = 1.0, white: float = 255.0) -> DataFrame:
     """For each left pixel the best right pixel in the (2 neigh + 1)^2 window where the pose puts it: x, y, rx, ry, score.
 
     left, right: x, y, luma, n; warp: x, y, wx, wy. Candidates whose normals differ (1 - n.n' >= normal_gate) are out; the
-    score is the normalised cross-correlation of the luma windows. Windows come together by equi-joins on offsets."""
+    score is the correlation of the luma windows. With sigma_color (EngineConfig's, say) it is the bilateral one, with luma
+    in parts of `white`: a window's pixels count the less, the further they are from its centre and the more they differ
+    from it; products are weighed as on the left, so in noise a score can pass 1. There, a window of a variance below 1e-5
+    scores nothing. Windows come together by equi-joins on offsets."""
     c = left.join(warp, ["x", "y"]).select("x", "y", "n", (F.col("wx")).alias("wx"), (F.col("wy")).alias("wy"), _offsets(neigh).alias("o"))
     c = c.select("x", "y", "n", (F.col("wx") + F.col("o.dx")).alias("rx"), (F.col("wy") + F.col("o.dy")).alias("ry"))
     c = c.join(right.select(F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("n").alias("m")), ["rx", "ry"]).where(1 - V.dot(F.col("n"), F.col("m")) < normal_gate)
-    w = c.select("x", "y", "rx", "ry", _offsets(radius).alias("o"))
-    w = w.select("x", "y", "rx", "ry", (F.col("x") + F.col("o.dx")).alias("lx"), (F.col("y") + F.col("o.dy")).alias("ly"), (F.col("rx") + F.col("o.dx")).alias("sx"), (F.col("ry") + F.col("o.dy")).alias("sy"))
-    w = w.join(left.select(F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("luma").alias("a")), ["lx", "ly"])
-    w = w.join(right.select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("luma").alias("b")), ["sx", "sy"])
-    scored = w.groupBy("x", "y", "rx", "ry").agg(F.corr("a", "b").alias("score"))
+    one, two = (d.select("x", "y", (F.col("luma") / white).alias("v")) for d in (left, right))
+    c = c.join(one.withColumnRenamed("v", "a0"), ["x", "y"]).join(two.toDF("rx", "ry", "b0"), ["rx", "ry"])
+    w = c.select("x", "y", "rx", "ry", "a0", "b0", _offsets(radius).alias("o"))
+    w = w.select("x", "y", "rx", "ry", "a0", "b0", "o", (F.col("x") + F.col("o.dx")).alias("lx"), (F.col("y") + F.col("o.dy")).alias("ly"), (F.col("rx") + F.col("o.dx")).alias("sx"), (F.col("ry") + F.col("o.dy")).alias("sy"))
+    w = w.join(one.toDF("lx", "ly", "a"), ["lx", "ly"]).join(two.toDF("sx", "sy", "b"), ["sx", "sy"])
+    far = (F.col("o.dx") ** 2 + F.col("o.dy") ** 2) / (2 * sigma_space**2)
+    if sigma_color is None:
+        scored = w.groupBy("x", "y", "rx", "ry").agg(F.corr("a", "b").alias("score"))
+    else:
+        w = w.withColumns({f"w{v}": F.exp(-far - (F.col(v) - F.col(f"{v}0")) ** 2 / (2 * sigma_color**2)) for v in "ab"})
+        scored = _weighed_correlation(w, ["x", "y", "rx", "ry"])
     scored = scored.where(F.col("score").isNotNull() & ~F.isnan("score"))
     if least is not None:
         scored = scored.where(F.col("score") >= least)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessara.config import EngineConfig
 from tessara.functions import vectors as V
-from tessara.operators import aggs, estimate, graph, joins
+from tessara.operators import aggs, estimate, fusion, graph, joins
 from tessara.operators import solvers as S
 from tessara.operators.sizes import stored
 
@@ -22,12 +22,7 @@ def pair_edges(keypoints_x: DataFrame, keypoints_y: DataFrame, intrinsics: Intri
     their points and refined in rounds, the others refined on their inliers. Edges must have a cost below the limit.
     Two branches and a union: a pair runs through one of them."""
     by = ["src", "dst"]
-    left = keypoints_x.select(*by, "l_id", "l_vec")
-    right = keypoints_y.select(*by, "r_id", "r_vec")
-    found = joins.nearest(left, right, by)
-    matches = _with_points(found, keypoints_x, keypoints_y, intrinsics)
-    ransac = S.RansacConfig(max_residual=config.max_pnp_residual, trials=config.num_of_trials, confidence=config.confidence, trial_factor=config.trial_factor)
-    poses = estimate.pnp(matches, by, intrinsics, ransac, config.min_matches, config.min_inliers, config.min_inlier_ratio).where("success")
+    matches, poses = _posed(keypoints_x, keypoints_y, intrinsics, config)
     many, few = poses.where(F.size("inliers") >= fallback), poses.where(F.size("inliers") < fallback)
     place = matches.select(*by, "match", "x", "y", "z", "u", "v")
     ranked = place.join(many.select(*by, F.explode("inliers").alias("match")), [*by, "match"])
@@ -42,6 +37,17 @@ def pair_edges(keypoints_x: DataFrame, keypoints_y: DataFrame, intrinsics: Intri
     return aggs.edge_gate(one.unionByName(two).where("success"), config.max_avg_cost).select(*by, "q", "t", "cost", "n")
 
 
+def _posed(keypoints_x: DataFrame, keypoints_y: DataFrame, intrinsics: Intrinsics, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
+    """Matches of frame pairs by nearest neighbours both ways, and the robust poses that they give."""
+    by = ["src", "dst"]
+    left = keypoints_x.select(*by, "l_id", "l_vec")
+    right = keypoints_y.select(*by, "r_id", "r_vec")
+    found = joins.nearest(left, right, by)
+    matches = _with_points(found, keypoints_x, keypoints_y, intrinsics)
+    ransac = S.RansacConfig(max_residual=config.max_pnp_residual, trials=config.num_of_trials, confidence=config.confidence, trial_factor=config.trial_factor)
+    return matches, estimate.pnp(matches, by, intrinsics, ransac, config.min_matches, config.min_inliers, config.min_inlier_ratio).where("success")
+
+
 def _with_points(found: DataFrame, keypoints_x: DataFrame, keypoints_y: DataFrame, k: Intrinsics) -> DataFrame:
     from tessara.operators.topk import reindexed
 
@@ -86,9 +92,38 @@ def evaluate_trajectory(truth: DataFrame, found: DataFrame, tolerance: float = 0
     return errors, aggs.ate_metrics(errors, [], stamp="a")
 
 
-def fuse_frames(frames: list[DataFrame]) -> DataFrame:
-    """One table of observations of all visible frames."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def integrate(pixels: DataFrame, poses: DataFrame, intrinsics: Intrinsics, size: float = 0.01, side: int = 8, base: float = 0.02, scale: float = 0.06, most: float = 3.0) -> DataFrame:
+    """Voxels (vx, vy, vz, sdf, weight) that all frames with a pose give. pixels: frame_index (long), x, y, depth, r, g, b;
+    poses: frame_index, world (pose, camera to world), sign where a frame is to be taken out again (-1).
+
+    A frame's blocks meet its own pixels only, so the work is that of the frames one by one; observations are added up
+    before rows move. A frame without pose is left out, one of unknown index as well."""
+    fx, fy, cx, cy = intrinsics
+    placed = poses.select("frame_index", "world", (F.col("sign") if "sign" in poses.columns else F.lit(1.0)).cast("double").alias("sign"))
+    ray = V.rotate(F.col("world.q"), F.array((F.col("x") - cx) / fx, (F.col("y") - cy) / fy, F.lit(1.0)))
+    rays = pixels.join(placed, "frame_index").select("frame_index", F.col("world.t").alias("origin"), ray.alias("direction"), F.col("depth").cast("double").alias("depth"))
+    blocks = fusion.allocate(rays, size, side, base, scale, most, frame="frame_index")
+    blocks = blocks.join(placed.select("frame_index", "sign", V.projection_rows(V.inverse_pose(F.col("world"))).alias("view")), "frame_index")
+    seen = fusion.observe(blocks, pixels, "view", intrinsics, size, side, base, scale, most)
+    signed = seen.join(placed.select("frame_index", "sign"), "frame_index").withColumn("weight", F.col("sign"))
+    return fusion.merge(signed)
+
+
+def global_edges(keypoints_x: DataFrame, keypoints_y: DataFrame, weights: DataFrame, intrinsics: Intrinsics, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Edges of frame pairs of different clusters: src, dst, q, t (right to left), cost, n. Keypoints as for pair_edges().
+
+    One branch for all pairs: matches, a robust pose, a refinement on its inliers, the limit of the cost; the cost is then
+    times the pair's weight. weights: src, dst, weight (the sum of the path lengths + 1); a pair without one has weight 1."""
+    by = ["src", "dst"]
+    matches, poses = _posed(keypoints_x, keypoints_y, intrinsics, config)
+    place = matches.select(*by, "match", "x", "y", "z", "u", "v")
+    refined = estimate.refine(place.join(poses.select(*by, F.explode("inliers").alias("match")), [*by, "match"]), by, poses, intrinsics)
+    kept = aggs.edge_gate(refined.where("success"), config.max_avg_cost).join(weights.select(*by, "weight"), by, "left")
+    return kept.select(*by, "q", "t", (F.col("cost") * F.coalesce("weight", F.lit(1.0))).alias("cost"), "n")
+
+
+def merged_cloud(points: DataFrame, frames: DataFrame, nodes: DataFrame) -> DataFrame:
+    """points (frame_index, p and more) of frames that have a place, with their node and p in the world. frames:
+    frame_index, node, pose; nodes: node, pose."""
+    placed = graph.frame_poses(frames, nodes).select("frame_index", "node", "world")
+    return points.join(placed, "frame_index").withColumn("p", V.transform_point(F.col("world"), F.col("p"))).drop("world")

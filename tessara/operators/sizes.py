@@ -18,10 +18,13 @@ def small(df: DataFrame, rows: int, megabytes: int = 32) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir, which all executors share; a temporary folder only where it is unset and all runs on one
+    machine. On a cluster without it this fails, as executors can't read each other's folders."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessara-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
