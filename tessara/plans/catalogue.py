@@ -450,10 +450,13 @@ def block_gc(spark, sf_dir):
 
 
 def solid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of voxels with a surface, one for each part: how far each is from a sphere around a place."""
-    p = table(spark, sf_dir, "part").agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi")).withColumn("vx", F.explode(F.sequence(F.lit(-12), F.lit(12))))
-    p = p.withColumn("vy", F.explode(F.sequence(F.lit(-12), F.lit(12)))).withColumn("vz", F.explode(F.sequence(F.lit(-12), F.lit(12))))
-    return p.select(*[F.col(c).cast("long") for c in ("vx", "vy", "vz")], ((F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2) - (F.col("hi") - F.col("lo")) / 6) * 0.01).alias("sdf"), F.lit(1.0).alias("weight"))
+    """A table of voxels with a sphere for each supplier, side by side, larger for a larger balance."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (2 + (F.col("s_acctbal").cast("double") + 1000) / 5000).alias("radius"))
+    for c in ("i", "j", "k"):
+        s = s.withColumn(c, F.explode(F.sequence(F.lit(-6), F.lit(6))))
+    far = F.sqrt(F.col("i") ** 2 + F.col("j") ** 2 + F.col("k") ** 2) - F.col("radius")
+    x, y = 14 * (F.col("s_suppkey") % 64), 14 * F.floor(F.col("s_suppkey") / 64)
+    return s.select((x + F.col("i")).cast("long").alias("vx"), (y + F.col("j")).cast("long").alias("vy"), F.col("k").cast("long").alias("vz"), (far * 0.01).alias("sdf"), F.lit(1.0).alias("weight"))
 
 
 @query()
@@ -463,7 +466,10 @@ def isosurface(spark, sf_dir):
 
 @query()
 def raycast(spark, sf_dir):
-    rays = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ray_id"), F.array((F.col("n_nationkey") - 12) * 0.004, F.lit(0.003), F.lit(-0.3)).alias("origin"), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("direction"))
+    """A ray for each supplier, past its sphere's middle."""
+    s = table(spark, sf_dir, "supplier")
+    x, y = 0.14 * (F.col("s_suppkey") % 64), 0.14 * F.floor(F.col("s_suppkey") / 64)
+    rays = s.select(F.col("s_suppkey").alias("ray_id"), F.array(x + (F.col("s_nationkey") - 12) * 0.002, y + 0.003, F.lit(-0.3)).alias("origin"), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("direction"))
     return fusion.raycast(solid(spark, sf_dir), rays)
 
 
@@ -531,9 +537,9 @@ def spanning_forest(spark, sf_dir):
 
 @query()
 def pose_graph(spark, sf_dir):
-    """A loop of poses for each nation: steps along a square with the customers' balances as drift."""
-    c = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("src"))
-    e = c.select("component", F.col("src").cast("long").alias("src"), ((F.col("src") + 1) % 6).cast("long").alias("dst"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.5), F.lit(0.8660254037844386)).alias("q"), F.array(1 + (F.col("component") - 12) / 500, F.col("src") / 200, F.lit(0.0)).alias("t"))
+    """A loop of poses for each supplier: steps around a hexagon with its balance as drift."""
+    c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("component"), (F.col("s_acctbal").cast("double") / 200_000).alias("drift"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("src"))
+    e = c.select("component", "drift", "src").select("component", F.col("src").cast("long").alias("src"), ((F.col("src") + 1) % 6).cast("long").alias("dst"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.5), F.lit(0.8660254037844386)).alias("q"), F.array(1 + F.col("drift"), F.col("src") / 200, F.lit(0.0)).alias("t"))
     return estimate.pose_graph(e, ["component"])
 
 
