@@ -76,11 +76,18 @@ class Chunker(StatefulProcessor):
 
 
 def chunk_stream(frames: DataFrame, size: int = 30, linked: int = 1000) -> DataFrame:
-    """chunks() of a stream. Frames of a sequence must arrive in order from batch to batch; the flush of the last chunk is
-    the reader's (its frames are those after the last closed one). Needs the RocksDB state store."""
+    """chunks() of a stream. Frames of a sequence must arrive in order from batch to batch; the last chunk
+    stays open, as a stream doesn't know its end; flushed() closes it once the stream is over. Needs the RocksDB state store."""
     return frames.select("sequence", "frame_index", "links").groupBy("sequence").transformWithStateInPandas(Chunker(size, linked), OUT, "Append", "None")
 
 
+def flushed(chunked: DataFrame) -> DataFrame:
+    """What a finished chunk_stream() wrote, with the last frame of each sequence ending its chunk: the rows of chunks()."""
+    last = chunked.groupBy(F.col("sequence").alias("__of")).agg(F.max("frame_index").alias("__last"))
+    joined = chunked.join(last, F.col("sequence").eqNullSafe(F.col("__of")) & (F.col("frame_index") == F.col("__last")), "left")
+    return joined.select("sequence", "frame_index", "chunk", (F.col("closed") | F.col("__last").isNotNull()).alias("closed"))
+
+
 def relocate(index: DataFrame, poses: DataFrame, size: float = 2.0) -> DataFrame:
     """The state table of the visual index after images that were lost got a position."""
     from tessara.operators import graph

@@ -99,3 +99,4 @@ def test_chunker(spark, tmp_path):
     q = chunker.chunk_stream(stream, 10, 300).writeStream.format("memory").queryName("chunks").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.frame_index, r.chunk) for r in spark.sql("SELECT * FROM chunks ORDER BY frame_index").collect()] == [x[:2] for x in got]
+    assert [(r.frame_index, r.chunk, r.closed) for r in chunker.flushed(spark.table("chunks")).orderBy("frame_index").collect()] == got
