@@ -96,6 +96,53 @@ def test_template_automata():
     assert [a.match(t.encode().split(), 0) for t in bad] == [None] * len(bad)
 
 
+def random_template(rng, depth=0):
+    """A template and the pattern of the texts that it accepts, each word followed by a space."""
+    out = [("a", "a ")] if not depth else []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        if kind < 0.25 and depth < 3:
+            inner = random_template(rng, depth + 1)
+            out.append((f"[[{inner[0]}]]", f"(?:{inner[1]})?"))
+        elif kind < 0.45:
+            n = rng.randint(1, 3)
+            out.append((f"{{{n}}}", rf"(?:\S+ ){{0,{n}}}"))
+        else:
+            w = rng.choice("abc")
+            out.append((w, f"{w} "))
+    return " ".join(t for t, _ in out), "".join(r for _, r in out)
+
+
+def test_template_automata_by_brute_force():
+    """The longest accepted stretch, by trying every end with the pattern."""
+    rng, accepted = random.Random(31), 0
+    for _ in range(400):
+        template, pattern = random_template(rng)
+        automaton, whole = licenses.compile_template(template), re.compile(pattern)
+        for _ in range(5):
+            words = ["a", *rng.choices("abcd", k=rng.randint(0, 9))]
+            ends = [e for e in range(len(words) + 1) if whole.fullmatch("".join(w + " " for w in words[:e]))]
+            assert automaton.match([w.encode() for w in words], 0) == (ends[-1] if ends else None), (template, words)
+            accepted += bool(ends)
+    assert 300 < accepted < 1900
+
+
+def test_license_places_by_brute_force(spark):
+    rng = random.Random(32)
+    pool = [*licenses.PHRASES, *" ".join(licenses.PHRASES).split(), "ccby", "Licen\u017fe", "\u00e9", "4"]
+    texts = ["".join(rng.choice([w, w.upper(), w.title()]) + rng.choice([" ", "  ", "\n", ", ", "-", "\u00e9", "", "\x7f"]) for w in rng.choices(pool, k=rng.randint(0, 60))) for _ in range(300)]
+    got = {r.doc_id: r for r in licenses.digest(licenses.scan(docs(spark, list(enumerate(texts))))).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        base = sorted((at, label) for p, label in licenses.PHRASES.items() for at in range(len(words)) if words[at : at + len(p.split())] == p.split())
+        want = (len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted({b for _, b in base})))
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == want, text
+        assert set(want[4].split(",")) - {""} <= set(got[i].labels.split(",")) and 0 <= got[i].score <= 1
+        found += len(base)
+    assert found > 300
+
+
 def slow_spans(text):
     out = []
     for kind, pattern, ok in (
