@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessara.functions import camera as C
+from tessara.operators.sizes import stored
 
 KEY = ["vx", "vy", "vz"]
 CORNERS = [(i & 1, i >> 1 & 1, i >> 2 & 1) for i in range(8)]
@@ -153,14 +154,18 @@ def raycast(voxels: DataFrame, rays: DataFrame, size: float = 0.01, increment: f
     Where two samples in a row go from front to back and are close, the crossing is the linear estimate between them. Each
     of `bisections` rounds samples the voxels at the estimate, takes the part that holds the change of sign and estimates
     again; the last estimate counts, and a crossing whose estimate has no sample doesn't. State travels with the samples,
-    so a round is one more join of the crossings, which are few, and nothing before it is worked out twice."""
+    so a round is one more join of the crossings, which are few, and nothing before it is worked out twice. All joins are
+    with the voxels that rays pass, a written table."""
     from pyspark.sql import Window
 
     n = int((far - near) / increment)
     samples = rays.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("t", F.lit(near) + F.col("k") * increment)
     for i, k in enumerate(KEY):
         samples = samples.withColumn(f"p{k}", (F.col("origin")[i] + F.col("t") * F.col("direction")[i]) / size)
-    sampled = interpolate(samples.select("ray_id", "t", *[f"p{k}" for k in KEY]), voxels, ["ray_id", "t"]).join(rays.select("ray_id", "origin", "direction"), "ray_id")
+        samples = samples.withColumn(f"s{k}", F.col(f"p{k}") - F.col("direction")[i] * increment / size)
+    voxels = passed(voxels, samples)
+    samples = in_blocks(samples.select("ray_id", "t", *[f"p{k}" for k in KEY]), voxels)
+    sampled = interpolate(samples, voxels, ["ray_id", "t"]).join(rays.select("ray_id", "origin", "direction").hint("merge"), "ray_id")
     along = Window.partitionBy("ray_id").orderBy("t")
     steps = sampled.withColumns({"t0": F.lag("t").over(along), "d0": F.lag("sdf").over(along)})
     hits = steps.where((F.col("d0") > 0) & (F.col("sdf") <= 0) & (F.col("t") - F.col("t0") < 1.5 * increment) & (F.abs(F.col("sdf") - F.col("d0")) < max_jump))
@@ -178,6 +183,26 @@ def raycast(voxels: DataFrame, rays: DataFrame, size: float = 0.01, increment: f
     return now.groupBy("ray_id").agg(F.min_by("depth", "start").alias("depth"))
 
 
+def in_blocks(points: DataFrame, voxels: DataFrame, side: int = 8) -> DataFrame:
+    """points (pvx, pvy, pvz in voxel units) in blocks that hold a voxel with weight. Others have no sample."""
+    blocks = [f"b{k[1]}" for k in KEY]
+    held = with_block(voxels.where("weight > 0"), side).select(*blocks).distinct()
+    own = points.withColumns({b: C.voxel_to_block(F.floor(F.col(f"p{k}")), side) for b, k in zip(blocks, KEY)})
+    return own.join(held.hint("merge"), blocks, "left_semi").drop(*blocks)
+
+
+def passed(voxels: DataFrame, samples: DataFrame) -> DataFrame:
+    """The voxels with weight that may be around a point of a stretch that ends in a sample (from svx, svy, svz to pvx,
+    pvy, pvz in voxel units), as a written table: vx, vy, vz, sdf, weight. The margin is for rounding."""
+    ends = [f"{e}{k}" for e in "sp" for k in KEY]
+    cells = in_blocks(samples.select(*ends), voxels)
+    for k in KEY:
+        low, high = F.least(f"s{k}", f"p{k}") - 1e-6, F.greatest(f"s{k}", f"p{k}") + 1e-6
+        cells = cells.withColumn(k, F.explode(F.sequence(F.floor(low), F.floor(high) + 1)))
+    around = cells.select(*KEY).distinct()
+    return stored(voxels.where("weight > 0").select(*KEY, "sdf", "weight").join(around.hint("merge"), KEY, "left_semi"))
+
+
 def linear_root(t0: str, t1: str, d0: str, d1: str) -> Column:
     """Where the line through (t0, d0) and (t1, d1) is zero."""
     return F.col(t0) + F.col(d0) / (F.col(d0) - F.col(d1)) * (F.col(t1) - F.col(t0))
@@ -197,7 +222,10 @@ def bisection_root(f, t0: float, t1: float, rounds: int = 3) -> float:
 
 
 def interpolate(points: DataFrame, voxels: DataFrame, by: list[str]) -> DataFrame:
-    """Trilinear sdf at points (pvx, pvy, pvz in voxel units); a point any of whose eight voxels has no weight is left out."""
+    """Trilinear sdf at points (pvx, pvy, pvz in voxel units); a point any of whose eight voxels has no weight is left out.
+
+    Spark takes a table of voxels made by explode() for as small as what it was made of, so the join is named here: it
+    never broadcasts voxels."""
     offsets = F.explode(F.array(*[F.array(*map(F.lit, c)) for c in CORNERS]))
     c = points.withColumn("c", offsets)
     weight = F.lit(1.0)
@@ -207,7 +235,7 @@ def interpolate(points: DataFrame, voxels: DataFrame, by: list[str]) -> DataFram
         c = c.withColumn(k, (low + F.col("c")[i]).cast("long"))
         weight = weight * F.when(F.col("c")[i] == 1, part).otherwise(1 - part)
     c = c.withColumn("__w", weight)
-    near = c.join(voxels.where("weight > 0").select(*KEY, "sdf"), KEY)
+    near = c.join(voxels.where("weight > 0").select(*KEY, "sdf").hint("merge"), KEY)
     return near.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col("__w") * F.col("sdf")).alias("sdf")).where("__n = 8").drop("__n")
 
 

@@ -103,6 +103,32 @@ def test_bisection_samples_again(spark):
     assert fusion.raycast(sphere(spark), rays, bisections=0).count() == 1
 
 
+def test_raycast_broadcasts_no_voxels(spark):
+    """Voxels made by explode() count as small in Spark's plan. The written voxels are all that the rays need."""
+    one, s = F.sequence(F.lit(-6), F.lit(6)), spark.range(40, numPartitions=4)
+    for c in "xyz":
+        s = s.withColumn(f"v{c}", F.explode(one))
+    far = F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2) - 3.7
+    s = s.select((F.col("id") * 14 + F.col("vx")).alias("vx"), F.col("vy").cast("long").alias("vy"), F.col("vz").cast("long").alias("vz"), (far * 0.01).alias("sdf"), F.lit(1.0).alias("weight"))
+    direction = F.array(F.lit(0.02), F.lit(-0.03), F.lit(1.0))
+    rays = spark.range(40).select(F.col("id").alias("ray_id"), F.array(F.col("id") * 0.14 - 0.002, F.lit(0.009), F.lit(-0.3)).alias("origin"), direction.alias("direction"))
+    got = fusion.raycast(s, rays)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    whole = {tuple(r[:3]): r.sdf for r in s.collect()}
+    for r in got.join(rays, "ray_id").collect():
+        o, d = np.array(r.origin), np.array(r.direction)
+
+        def sdf(t):
+            p = (o + t * d) / 0.01
+            low = np.floor(p).astype(int)
+            return sum(np.prod([p[i] - low[i] if c[i] else 1 - p[i] + low[i] for i in range(3)]) * whole[tuple(map(int, low + c))] for c in fusion.CORNERS)
+
+        steps = [0.1 + 0.016 * k for k in range(10, 17)]
+        near, end = next((a, b) for a, b in zip(steps, steps[1:]) if sdf(a) > 0 >= sdf(b))
+        assert np.isclose(r.depth, fusion.bisection_root(sdf, near, end, 3), atol=1e-9)
+    assert got.count() == 40
+
+
 def test_integrate_adds_up_frames(spark):
     """As observe() frame by frame, over the blocks of that frame; a frame with sign -1 is taken out."""
     k = (100.0, 100.0, 8.0, 8.0)
