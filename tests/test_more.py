@@ -3,10 +3,12 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessara.functions import vectors as V
 from tessara.operators import aggs, features, fusion, graph, images, joins, topk
+from tessara.plans import catalogue
 
 
 def rows(df):
@@ -131,3 +133,35 @@ def test_block_by_block_agrees(spark):
             s = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b in (v[41] if side == "l" else v[30]))
             assert got[i] == (s[0][1], round(-s[1][0], 9))
     assert joins.nearest(left, right.limit(0)).count() == 0
+
+
+def test_overlap_at_equal_scores(spark, tmp_path):
+    """As its SQL where scores are 0.2 but for rounding, or a text and its neighbours score the same but for rounding."""
+    duckdb = pytest.importorskip("duckdb")
+    texts, docs = [], []
+
+    def text(shared, rest, times, i):
+        words = [f"q{i}w{j}" for j in range(shared)]
+        while rest:  # other words, whose squared weights add up to rest
+            n = math.isqrt(rest)
+            words += [f"q{i}x{len(words)}"] * n
+            rest -= n * n
+        return " ".join(words * times)
+
+    def case(shared, *parts):
+        i = len(texts)
+        texts.append((i, text(shared, 0, 1, i)))
+        docs.extend((1000 + 10 * i + k, text(shared, *part, i), f"src{i}") for k, part in enumerate(parts))
+
+    for a in (3, 5, 7, 10, 12, 14, 15, 17, 20, 28, 30, 34):
+        case(a, (24 * a, 1))
+    for a, b, m in ((2, 5, 7), (2, 7, 5), (2, 9, 5), (2, 10, 5), (2, 13, 7), (2, 15, 3)):
+        case(a, (b - a, 1), (b - a, m))
+        case(a, (b - a, 1), (b, 1), (b - a, m))
+        case(a, (b - a, m), (b, 1), (b - a, 1))
+    db = duckdb.connect()
+    for name, data, schema in (("benchmark", texts, "item_id long, text string"), ("documents", docs, "doc_id long, text string, source string")):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(db.execute(catalogue.ORACLE_SQL["overlap_covisible"]).fetchall())
+    assert rows(catalogue.overlap_covisible(spark, str(tmp_path))) == want and len(want) > 20
